@@ -31,11 +31,10 @@ def zone_names(zones: DataFrame, key: str, name: str) -> DataFrame:
     """The zone lookup under another role name: ``(key, name)``.
 
     The lookup is keyed on an integer LocationID (a CSV gives text; it is
-    cast here, as the ``::integer`` in the reference join).  One row per key
-    is kept so that a LEFT join never multiplies trips.
+    cast here, as the ``::integer`` in the reference join).  Like any lookup
+    it is expected to hold one row per LocationID.
     """
-    return (zones.select(F.col("LocationID").cast("int").alias(key), F.col("Zone").alias(name))
-            .dropDuplicates([key]))
+    return zones.select(F.col("LocationID").cast("int").alias(key), F.col("Zone").alias(name))
 
 
 def with_zone_names(df: DataFrame, zones: DataFrame, pu: str = C.PU, do: str = C.DO,

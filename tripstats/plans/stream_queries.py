@@ -1 +1,117 @@
-STREAM_QUERIES = {}
+"""Catalog entries for the change feed: message encoding, CDC decoding,
+topic replay and the four streaming rollups.
+
+The feed is produced from the batch rollups of the benchmark tables, one
+publish per month file (as the per-month appends of the upstream tables
+would emit it).  Streams run with ``availableNow`` into fresh folders under
+the session's checkpoint folder and return the merged target table.
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tripstats import config as C
+from tripstats.functions.columns import mean_2dp, presented
+from tripstats.operators import rollups as A
+from tripstats.plans import catalog as Q
+from tripstats.session import new_scratch
+from tripstats.sources.messages import (TOPIC_SCHEMAS, decode_change_feed, folder_record_stream,
+                                        publish, replay_topic, to_messages)
+from tripstats.streaming.rollup_streams import start_rollup_stream
+
+
+def upstream_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The four per-month upstream tables, keyed by topic, each with ``src_month``."""
+    enriched = Q.enriched(spark, sf_dir)
+    zones = Q.zones(spark, sf_dir)
+    return {
+        "temp_table": A.month_partials(enriched).select(
+            "src_month", "pickup_date", F.col("pickup_hour").cast("long").alias("pickup_hour"),
+            "pickup_days", "count_trip"),
+        "temp_duration_interval": A.duration_histogram(enriched).select(
+            "src_month", "duration_interval", "trip_count", "duration_interval_class"),
+        "temp_pick_drop_zone": A.route_monthly(enriched, zones),
+        # The fare table is one table over all months, rewritten by each run.
+        "temp_trip_fare": A.hourly_profile(enriched).select(
+            F.lit(0).alias("src_month"), F.col("pickup_hour").cast("long").alias("pickup_hour"),
+            "avg_fare_per_km", "avg_tip_amount", "short_trip_count", "long_trip_count"),
+    }
+
+
+def feed_topic(spark: SparkSession, sf_dir: str, topic: str, root: str) -> str:
+    """Write the upstream table once, then publish it to a folder topic one
+    month file at a time.  Returns the topic folder."""
+    table_path = f"{root}/{topic}"
+    upstream_tables(spark, sf_dir)[topic].write.partitionBy("src_month").parquet(table_path)
+    stored = spark.read.parquet(table_path)
+    months = (0,) if topic == "temp_trip_fare" else C.REPORT_MONTHS
+    folder = f"{root}/topic-{topic}"
+    for m in months:
+        rows = stored.filter(F.col("src_month") == m).drop("src_month")
+        publish(to_messages(rows, C.TOPIC_PREFIX + topic), folder)
+    return folder
+
+
+def run_stream(spark: SparkSession, sf_dir: str, topic: str, max_files_per_trigger: int = 1) -> DataFrame:
+    root = new_scratch(spark, f"stream-{topic}")
+    folder = feed_topic(spark, sf_dir, topic, root)
+    records = folder_record_stream(spark, folder, max_files_per_trigger)
+    query, target = start_rollup_stream(records, topic, f"{root}/target", f"{root}/checkpoint")
+    query.awaitTermination()
+    return target.read(spark)
+
+
+def q_stream_daily(spark, sf_dir):
+    return run_stream(spark, sf_dir, "temp_table").select(
+        "pickup_date", "pickup_days", F.col("total_trip").cast("bigint").alias("total_trip"))
+
+
+def q_stream_duration(spark, sf_dir):
+    return run_stream(spark, sf_dir, "temp_duration_interval").select(
+        "duration_interval", "duration_interval_class", "trip_count")
+
+
+def q_stream_routes(spark, sf_dir):
+    return run_stream(spark, sf_dir, "temp_pick_drop_zone").select(
+        "PULocationID", "DOLocationID", "trip_count",
+        mean_2dp("avg_trip_distance_km").alias("avg_trip_distance_km"),
+        mean_2dp("avg_fare_amount").alias("avg_fare_amount"))
+
+
+def q_stream_fare(spark, sf_dir):
+    return run_stream(spark, sf_dir, "temp_trip_fare").select(
+        "pickup_hour", presented("avg_fare_per_km").alias("avg_fare_per_km"),
+        presented("avg_tip_amount").alias("avg_tip_amount"), "short_trip_count", "long_trip_count")
+
+
+def q_to_messages(spark, sf_dir):
+    rows = upstream_tables(spark, sf_dir)["temp_table"].drop("src_month")
+    return to_messages(rows, C.TOPIC_PREFIX + "temp_table").select("topic", "value")
+
+
+def q_cdc_unwrap(spark, sf_dir):
+    """Enveloped change events of the hourly table decoded to new row states."""
+    rows = upstream_tables(spark, sf_dir)["temp_table"].drop("src_month")
+    records = to_messages(rows, C.TOPIC_PREFIX + "temp_table", envelope=True)
+    return decode_change_feed(records, TOPIC_SCHEMAS["temp_table"])
+
+
+def q_topic_replay(spark, sf_dir):
+    """The fare topic replayed from the earliest record (all messages)."""
+    root = new_scratch(spark, "replay")
+    folder = feed_topic(spark, sf_dir, "temp_trip_fare", root)
+    rows = replay_topic(spark, folder, TOPIC_SCHEMAS["temp_trip_fare"])
+    return rows.withColumns({"avg_fare_per_km": presented("avg_fare_per_km"),
+                             "avg_tip_amount": presented("avg_tip_amount")})
+
+
+STREAM_QUERIES = {
+    "to_messages": q_to_messages,
+    "cdc_unwrap": q_cdc_unwrap,
+    "topic_replay": q_topic_replay,
+    "stream_daily": q_stream_daily,
+    "stream_duration": q_stream_duration,
+    "stream_routes": q_stream_routes,
+    "stream_fare": q_stream_fare,
+}

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tripstats import config as C
 from tripstats.operators.joins import join_dimension
@@ -21,8 +22,26 @@ DAY_SPAN = 156
 UNKNOWN_ZONE_ID = 264
 
 
+_L, _I, _D, _S = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType()
+# Declared read schemas (only the columns the projection uses): no footer
+# inference job per read, and the scan reads exactly these columns.
+SCHEMAS = {
+    "lineitem": {"l_orderkey": _L, "l_partkey": _L, "l_suppkey": _L, "l_linenumber": _I,
+                 "l_quantity": _D, "l_extendedprice": _D, "l_returnflag": _S},
+    "orders": {"o_orderkey": _L, "o_custkey": _L},
+    "customer": {"c_custkey": _L, "c_nationkey": _I},
+    "supplier": {"s_suppkey": _L, "s_nationkey": _I},
+    "nation": {"n_nationkey": _I, "n_name": _S},
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    known = SCHEMAS.get(name, {})
+    if columns and all(c in known for c in columns):
+        schema = T.StructType([T.StructField(c, known[c]) for c in columns])
+        return spark.read.schema(schema).parquet(path)
+    df = spark.read.parquet(path)
     return df.select(*columns) if columns else df
 
 
@@ -36,9 +55,13 @@ def trips_from_tables(spark: SparkSession, sf_dir: str,
     supp = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
 
     # orders x customer first (smaller than lineitem), then lineitem x that.
+    # lineitem and orders are both fact-sized: their join is a sort-merge
+    # join on the order key (co-partitioned, spills instead of failing), never
+    # a broadcast of either side; the row-level work after it runs in the
+    # shuffle partitions, in parallel.
     oc = join_dimension(orders, cust, orders.o_custkey == cust.c_custkey, "inner",
                         max_broadcast_rows).select("o_orderkey", "c_nationkey")
-    x = li.join(oc, li.l_orderkey == oc.o_orderkey, "inner")
+    x = li.join(oc.hint("merge"), li.l_orderkey == oc.o_orderkey, "inner")
     x = join_dimension(x, supp, x.l_suppkey == supp.s_suppkey, "inner", max_broadcast_rows)
 
     line = F.col("l_linenumber")
