@@ -5,17 +5,10 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tripstats import config as C
 
 MONTH_FILE_TEMPLATE = "yellow_tripdata_{year:04d}-{month:02d}.parquet"
-ZONE_CSV_SCHEMA = T.StructType([
-    T.StructField("LocationID", T.StringType()),
-    T.StructField("Borough", T.StringType()),
-    T.StructField("Zone", T.StringType()),
-    T.StructField("service_zone", T.StringType()),
-])
 
 
 def month_paths(folder: str, year: int = C.REPORT_YEAR,
@@ -33,15 +26,13 @@ def scan_monthly_trips(spark: SparkSession, folder: str, year: int = C.REPORT_YE
     pushdown apply to every file.
     """
     df = spark.read.parquet(*month_paths(folder, year, months, template))
-    month = F.regexp_extract(F.col("_metadata.file_name"), r"_(\d{4})-(\d{2})\.parquet$", 2)
+    # The month is read from the path (a "file" may be a folder of parts).
+    month = F.regexp_extract(F.col("_metadata.file_path"), r"_(\d{4})-(\d{2})\.parquet", 2)
     return df.withColumn("src_month", month.cast("int"))
 
 
 def read_zone_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Zone lookup CSV with header; LocationID is cast to INT.
-
-    Reads with a declared all-text schema (no inference pass over the file),
-    then keeps ``LocationID, Zone`` and whatever else the file has.
-    """
+    """Zone lookup CSV with header, read as text (no inference pass over the
+    data); LocationID is cast to INT."""
     df = spark.read.option("header", True).csv(path)
     return df.withColumn("LocationID", F.col("LocationID").cast("int"))
