@@ -20,7 +20,7 @@ from tripstats.sinks.writers import write_month_partitions, write_sorted
 
 UPSTREAM = ("temp_table", "temp_duration_interval", "temp_pick_drop_zone", "temp_trip_fare")
 VIEWS = ("mv_taxi_date_hour_daily", "mv_taxi_date_hourly", "mv_taxi_duration_trip",
-         "mv_pick_drop_zone", "mv_trip_fare")
+         "mv_pick_drop_zone", "mv_trip_fare", "pick_drop_zone_means")
 
 
 def write_trip_tables(trips: DataFrame, warehouse: str) -> str:
@@ -50,6 +50,9 @@ def write_views(spark: SparkSession, upstream: dict[str, str], warehouse: str) -
     write_sorted(A.route_rollup(read("temp_pick_drop_zone")), paths["mv_pick_drop_zone"],
                  [C.PU, C.DO])
     write_sorted(read("temp_trip_fare"), paths["mv_trip_fare"], ["pickup_hour"])
+    # unrounded route means (the streamed route target), rounded by the report
+    write_sorted(A.route_rollup(read("temp_pick_drop_zone"), decimals=None), paths["pick_drop_zone_means"],
+                 [C.PU, C.DO])
     return paths
 
 

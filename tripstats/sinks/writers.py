@@ -31,3 +31,13 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: dict, mode: str
                batch_size: int = 10_000) -> None:
     """JDBC table write (each task writes its partition over its own connection)."""
     df.write.option("batchsize", batch_size).jdbc(url=url, table=table, mode=mode, properties=properties)
+
+
+def write_kafka(messages: DataFrame, bootstrap_servers: str, topic: str | None = None) -> None:
+    """Produce ``(key, value)`` rows to Kafka (needs the spark-sql-kafka
+    connector); without ``topic`` each row's ``topic`` column is used."""
+    w = messages.select(*[c for c in ("topic", "key", "value") if c in messages.columns]).write.format("kafka")
+    w = w.option("kafka.bootstrap.servers", bootstrap_servers)
+    if topic:
+        w = w.option("topic", topic)
+    w.save()
