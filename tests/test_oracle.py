@@ -23,11 +23,11 @@ def test_every_query_has_an_oracle():
 def test_query_matches_oracle(spark, duck, key):
     df = E.queries()[key](spark, SF_SMALL)
     cols = sorted(df.columns)
-    got = sorted(tuple(_norm(r[c]) for c in cols) for r in df.collect())
+    got = sorted((tuple(_norm(r[c]) for c in cols) for r in df.collect()), key=repr)
     rel = duck.execute(E.oracle_sql()[key])
     dcols = [d[0] for d in rel.description]
     assert sorted(dcols) == cols
-    want = sorted(tuple(_norm(r[dcols.index(c)]) for c in cols) for r in rel.fetchall())
+    want = sorted((tuple(_norm(r[dcols.index(c)]) for c in cols) for r in rel.fetchall()), key=repr)
     assert len(got) == len(want)
     assert got == want
 

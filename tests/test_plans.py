@@ -21,7 +21,10 @@ def test_top_routes_is_take_ordered_then_broadcast_lookups(spark):
 
 
 def test_fact_join_is_sort_merge_and_scans_are_pruned(spark):
-    p = plan(E.queries()["hourly_profile"](spark, SF_SMALL))
+    from tripstats.operators import rollups as A
+    from tripstats.operators.enrich import enrich_trips
+    from tripstats.sources.tables import trips_from_tables
+    p = plan(A.hourly_profile(enrich_trips(trips_from_tables(spark, SF_SMALL))))
     assert "SortMergeJoin" in p
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in p
     assert "PushedFilters" in p
@@ -29,6 +32,14 @@ def test_fact_join_is_sort_merge_and_scans_are_pruned(spark):
     assert p.count("HashAggregate") >= 2
 
 
+def test_reports_read_the_written_trip_table_pruned(spark):
+    p = plan(E.queries()["hourly_profile"](spark, SF_SMALL))
+    assert "Join" not in p
+    assert ("ReadSchema: struct<tip_amount:double,total_amount_excluding_tips:double,pickup_hour:int,"
+            "trip_distance_km:double>") in p
+    assert "PushedFilters: [IsNotNull(total_amount_excluding_tips), GreaterThan(total_amount_excluding_tips,0.0)]" in p
+
+
 def test_broadcast_only_below_bound(spark):
     small = spark.range(10).withColumnRenamed("id", "k")
     big = spark.range(1000).withColumnRenamed("id", "k")

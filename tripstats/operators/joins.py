@@ -17,14 +17,16 @@ def has_at_most(df: DataFrame, max_rows: int) -> bool:
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
-                   max_rows: int = C.BROADCAST_MAX_ROWS) -> DataFrame:
+                   max_rows: int = C.BROADCAST_MAX_ROWS, small: bool | None = None) -> DataFrame:
     """Join ``fact`` with ``dim``; broadcast ``dim`` only if it is proven small.
 
+    ``small`` passes a verdict already obtained from ``has_at_most``.
     Beyond the bound the join is left to Catalyst/AQE (shuffle join, with
     AQE's skew-split for hot keys on the fact side).
     """
-    side = F.broadcast(dim) if has_at_most(dim, max_rows) else dim
-    return fact.join(side, on, how)
+    if small is None:
+        small = has_at_most(dim, max_rows)
+    return fact.join(F.broadcast(dim) if small else dim, on, how)
 
 
 def zone_names(zones: DataFrame, key: str, name: str) -> DataFrame:
@@ -44,7 +46,6 @@ def with_zone_names(df: DataFrame, zones: DataFrame, pu: str = C.PU, do: str = C
 
     Unknown locations keep their rows with a NULL zone name.
     """
-    pu_side = zone_names(zones, pu, pu_name)
-    do_side = zone_names(zones, do, do_name)
-    out = join_dimension(df, pu_side, pu, "left", max_rows)
-    return join_dimension(out, do_side, do, "left", max_rows)
+    small = has_at_most(zones, max_rows)     # one check for both roles
+    out = join_dimension(df, zone_names(zones, pu, pu_name), pu, "left", small=small)
+    return join_dimension(out, zone_names(zones, do, do_name), do, "left", small=small)

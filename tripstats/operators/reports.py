@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tripstats import config as C
 from tripstats.functions.columns import label_start, mean_2dp, presented, weekday_rank
-from tripstats.operators.joins import zone_names, join_dimension
+from tripstats.operators.joins import with_zone_names
 from tripstats.operators.reshape import fold
 
 
@@ -87,8 +87,7 @@ def top_routes(routes: DataFrame, zones: DataFrame, n: int = C.TOP_N_ROUTES) ->
     broken by the route ids, and the result is ordered again after the joins.
     """
     top = routes.orderBy(F.col("trip_count").desc(), F.col(C.PU), F.col(C.DO)).limit(n)
-    named = join_dimension(top, zone_names(zones, C.PU, "pickup_zone"), C.PU, "left")
-    named = join_dimension(named, zone_names(zones, C.DO, "drop_zone"), C.DO, "left")
+    named = with_zone_names(top, zones)
     return (named.orderBy(F.col("trip_count").desc(), F.col(C.PU), F.col(C.DO))
             .select("pickup_zone", "drop_zone", "trip_count",
                     mean_2dp("avg_trip_distance_km").alias("avg_trip_distance_km"),

@@ -6,6 +6,8 @@ to the driver.
 """
 from __future__ import annotations
 
+import os
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,8 @@ from tripstats.functions.columns import presented
 from tripstats.operators import reports as R
 from tripstats.operators import rollups as A
 from tripstats.operators.enrich import enrich_trips
+from tripstats.session import new_scratch
+from tripstats.sinks.writers import write_month_partitions
 from tripstats.sources.tables import trips_from_tables, zones_from_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +29,36 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trips_from_tables(spark, sf_dir)
 
 
+_ENRICHED: dict[tuple[str, str], tuple[str, object]] = {}
+_LOCK = threading.Lock()
+
+
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich_trips(trips_from_tables(spark, sf_dir))
+    """Enriched trips, written once per session and source folder.
+
+    The first call runs the projection joins and the cleaning steps and
+    writes the result as a month-partitioned parquet table below the
+    session's checkpoint folder (the per-month trip tables every rollup
+    reads); later calls read that table back.  Reports then scan only the
+    columns they use, and lineage is cut at a written table, so a lost
+    executor costs a re-read, not a re-join.  Source tables are treated as
+    immutable within a session (as Spark's own cache does); ``forget()``
+    drops the written copies' registry.
+    """
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    with _LOCK:
+        if key not in _ENRICHED:
+            df = enrich_trips(trips_from_tables(spark, sf_dir))
+            path = new_scratch(spark, "enriched")
+            write_month_partitions(df, path, sort_by=("pickup_date", "pickup_hour"))
+            _ENRICHED[key] = (path, df.schema)
+        path, schema = _ENRICHED[key]
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def forget() -> None:
+    with _LOCK:
+        _ENRICHED.clear()
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
