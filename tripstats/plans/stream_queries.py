@@ -39,26 +39,45 @@ def upstream_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def feed_topic(spark: SparkSession, sf_dir: str, topic: str, root: str) -> str:
-    """Write the upstream table once, then publish it to a folder topic one
-    month file at a time.  Returns the topic folder."""
+def write_upstream(spark: SparkSession, sf_dir: str, topic: str, root: str) -> DataFrame:
+    """Write the upstream table once (partitioned by month file) and read it back."""
     table_path = f"{root}/{topic}"
     upstream_tables(spark, sf_dir)[topic].write.partitionBy("src_month").parquet(table_path)
-    stored = spark.read.parquet(table_path)
-    months = (0,) if topic == "temp_trip_fare" else C.REPORT_MONTHS
+    return spark.read.parquet(table_path)
+
+
+def topic_months(topic: str) -> tuple[int, ...]:
+    # The fare table is one table over all months (published once).
+    return (0,) if topic == "temp_trip_fare" else C.REPORT_MONTHS
+
+
+def publish_month(stored: DataFrame, topic: str, month: int, folder: str) -> None:
+    rows = stored.filter(F.col("src_month") == month).drop("src_month")
+    publish(to_messages(rows, C.TOPIC_PREFIX + topic), folder)
+
+
+def feed_topic(spark: SparkSession, sf_dir: str, topic: str, root: str) -> str:
+    """Publish the upstream table to a folder topic one month file at a time."""
+    stored = write_upstream(spark, sf_dir, topic, root)
     folder = f"{root}/topic-{topic}"
-    for m in months:
-        rows = stored.filter(F.col("src_month") == m).drop("src_month")
-        publish(to_messages(rows, C.TOPIC_PREFIX + topic), folder)
+    for m in topic_months(topic):
+        publish_month(stored, topic, m, folder)
     return folder
 
 
-def run_stream(spark: SparkSession, sf_dir: str, topic: str, max_files_per_trigger: int = 1) -> DataFrame:
+def run_stream(spark: SparkSession, sf_dir: str, topic: str) -> DataFrame:
+    """Each month's changes are published, then the stream runs once
+    (``availableNow``) and stops; the next run restarts from the checkpoint.
+    The target is read after the last run."""
     root = new_scratch(spark, f"stream-{topic}")
-    folder = feed_topic(spark, sf_dir, topic, root)
-    records = folder_record_stream(spark, folder, max_files_per_trigger)
-    query, target = start_rollup_stream(records, topic, f"{root}/target", f"{root}/checkpoint")
-    query.awaitTermination()
+    stored = write_upstream(spark, sf_dir, topic, root)
+    folder = f"{root}/topic-{topic}"
+    target = None
+    for m in topic_months(topic):
+        publish_month(stored, topic, m, folder)
+        query, target = start_rollup_stream(folder_record_stream(spark, folder), topic,
+                                            f"{root}/target", f"{root}/checkpoint")
+        query.awaitTermination()
     return target.read(spark)
 
 
