@@ -14,7 +14,9 @@ def write_month_partitions(df: DataFrame, path: str, month_col: str = "src_month
     instead of appending a second copy (the per-month appends of the
     reference double-count on rerun).
     """
-    out = df.sortWithinPartitions(*sort_by) if sort_by else df
+    # The partitioned writer needs rows grouped by month; leading with the
+    # month column keeps ``sort_by`` order inside each file (min/max pruning).
+    out = df.sortWithinPartitions(month_col, *sort_by) if sort_by else df
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(month_col).parquet(path))
 
