@@ -18,7 +18,7 @@ from tripstats.plans import catalog as Q
 from tripstats.session import new_scratch
 from tripstats.sources.messages import (TOPIC_SCHEMAS, decode_change_feed, folder_record_stream,
                                         publish, replay_topic, to_messages)
-from tripstats.streaming.rollup_streams import start_rollup_stream
+from tripstats.streaming.rollup_streams import start_rollup_stream, stream_session
 
 
 def upstream_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -40,9 +40,15 @@ def upstream_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def write_upstream(spark: SparkSession, sf_dir: str, topic: str, root: str) -> DataFrame:
-    """Write the upstream table once (partitioned by month file) and read it back."""
+    """Write the upstream table once (partitioned by month file) and read it back.
+
+    The upstream tables are rollups bounded by their key domains (a month of
+    days x hours, buckets or routes), so each month goes to one writer task
+    and one file, whatever the session's shuffle partition count.
+    """
     table_path = f"{root}/{topic}"
-    upstream_tables(spark, sf_dir)[topic].write.partitionBy("src_month").parquet(table_path)
+    (upstream_tables(spark, sf_dir)[topic].repartition("src_month")
+     .write.partitionBy("src_month").parquet(table_path))
     return spark.read.parquet(table_path)
 
 
@@ -72,10 +78,11 @@ def run_stream(spark: SparkSession, sf_dir: str, topic: str) -> DataFrame:
     root = new_scratch(spark, f"stream-{topic}")
     stored = write_upstream(spark, sf_dir, topic, root)
     folder = f"{root}/topic-{topic}"
+    streams = stream_session(spark)
     target = None
     for m in topic_months(topic):
         publish_month(stored, topic, m, folder)
-        query, target = start_rollup_stream(folder_record_stream(spark, folder), topic,
+        query, target = start_rollup_stream(folder_record_stream(streams, folder), topic,
                                             f"{root}/target", f"{root}/checkpoint")
         query.awaitTermination()
     return target.read(spark)

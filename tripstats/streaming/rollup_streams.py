@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripstats.sources.messages import TOPIC_SCHEMAS, decode_change_feed
@@ -34,7 +34,26 @@ def route_updates(rows: DataFrame) -> DataFrame:
                  F.avg("avg_fare_amount").alias("avg_fare_amount")))
 
 
-# topic -> (aggregation or None for pass-through, target keys, output mode)
+# Upper bound on state partitions: the keys are days, buckets, routes or
+# hours, so the state is small; a few dozen partitions spread it without
+# paying one state-store commit per partition for hundreds of near-empty ones.
+MAX_STATE_PARTITIONS = 32
+
+
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A child session (same cluster, own SQL conf) for running the streams.
+
+    A stateful stream fixes its number of state partitions from
+    ``spark.sql.shuffle.partitions`` when it first starts; setting it here
+    leaves the caller's session untouched.
+    """
+    child = spark.newSession()
+    n = state_partitions or min(spark.sparkContext.defaultParallelism, MAX_STATE_PARTITIONS)
+    child.conf.set("spark.sql.shuffle.partitions", str(max(1, n)))
+    return child
+
+
+# topic -> (aggregation or None for pass-through, target keys)
 STREAMS: dict[str, tuple[Callable[[DataFrame], DataFrame] | None, list[str]]] = {
     "temp_table": (daily_updates, ["pickup_date", "pickup_days"]),
     "temp_duration_interval": (duration_updates, ["duration_interval", "duration_interval_class"]),
