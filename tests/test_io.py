@@ -73,3 +73,21 @@ def test_batch_job_rerun_gives_same_tables(spark, tmp_path):
     assert spark.read.parquet(paths["taxi_trips"]).count() == n_trips == 5421
     daily = spark.read.parquet(paths["mv_taxi_date_hour_daily"])
     assert daily.filter(F.col("pickup_date") == dt.date(2025, 1, 1)).count() == 1
+
+
+def test_monthly_files_through_batch_job_equal_catalog(spark, tmp_path):
+    """The real-data path: month files -> one scan -> batch job -> views."""
+    trips = Q.trips(spark, SF_SMALL).cache()
+    folder = str(tmp_path / "raw")
+    for m, path in zip(range(1, 6), month_paths(folder)):
+        trips.filter(F.col("src_month") == m).drop("src_month").write.parquet(path)
+    tables = batch.run(spark, scan_monthly_trips(spark, folder), Q.zones(spark, SF_SMALL), str(tmp_path / "wh"))
+    daily = spark.read.parquet(tables["mv_taxi_date_hour_daily"])
+    want = Q.queries()["daily_totals"](spark, SF_SMALL)
+    assert rows(daily, ["pickup_date", "pickup_days", "total_trip"]) == \
+        rows(want, ["pickup_date", "pickup_days", "total_trip"])
+    fare = spark.read.parquet(tables["mv_trip_fare"])
+    prof = Q.queries()["hourly_profile"](spark, SF_SMALL)
+    assert rows(fare, ["pickup_hour", "short_trip_count", "long_trip_count"]) == \
+        rows(prof, ["pickup_hour", "short_trip_count", "long_trip_count"])
+    trips.unpersist()

@@ -1,7 +1,6 @@
 """Session construction and the shared scratch location."""
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -62,4 +61,4 @@ def local_path(uri: str) -> str:
     return uri[len("file:"):] if uri.startswith("file:") else uri
 
 
-__all__ = ["build_session", "scratch_root", "new_scratch", "local_path", "os"]
+__all__ = ["build_session", "scratch_root", "new_scratch", "local_path"]
