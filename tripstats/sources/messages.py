@@ -115,18 +115,24 @@ def cdc_date(text: Column) -> Column:
 def decode_change_feed(records: DataFrame, schema: T.StructType, keep: tuple[str, ...] = ()) -> DataFrame:
     """New row states from change-feed records, typed by ``schema``.
 
-    Tombstones and deletes are dropped; ``keep`` carries record columns
-    (e.g. ``offset``) along.
+    Each value is parsed once, with a schema holding both the row's fields
+    (flat form) and the envelope fields (``before/after/op`` and
+    ``payload``).  Tombstones and deletes are dropped; ``keep`` carries
+    record columns (e.g. ``offset``) along.
     """
     row = _lenient(schema)
     env = T.StructType([T.StructField("before", row), T.StructField("after", row),
                         T.StructField("op", T.StringType())])
-    wrapped = T.StructType([T.StructField("payload", env)] + env.fields)
+    clash = {"before", "after", "op", "payload"} & set(row.fieldNames())
+    if clash:
+        raise ValueError(f"row fields clash with envelope fields: {sorted(clash)}")
+    both = T.StructType(row.fields + env.fields + [T.StructField("payload", env)])
     parsed = records.filter(F.col("value").isNotNull()).select(
-        *keep, F.from_json("value", wrapped).alias("_e"), F.from_json("value", row).alias("_r"))
-    after = F.coalesce(F.col("_e.after"), F.col("_e.payload.after"))
-    op = F.coalesce(F.col("_e.op"), F.col("_e.payload.op"))
-    state = F.when(after.isNotNull(), after).when(op.isNull(), F.col("_r"))
+        *keep, F.from_json("value", both).alias("_m"))
+    after = F.coalesce(F.col("_m.after"), F.col("_m.payload.after"))
+    op = F.coalesce(F.col("_m.op"), F.col("_m.payload.op"))
+    flat = F.struct(*[F.col(f"_m.{f.name}").alias(f.name) for f in row.fields])
+    state = F.when(after.isNotNull(), after).when(op.isNull(), flat)
     out = parsed.select(*keep, state.alias("_s")).filter(F.col("_s").isNotNull())
     cols = []
     for f in schema.fields:
