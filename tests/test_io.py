@@ -91,3 +91,9 @@ def test_monthly_files_through_batch_job_equal_catalog(spark, tmp_path):
     assert rows(fare, ["pickup_hour", "short_trip_count", "long_trip_count"]) == \
         rows(prof, ["pickup_hour", "short_trip_count", "long_trip_count"])
     trips.unpersist()
+
+
+def test_cli_list_and_batch(spark, tmp_path, capsys):
+    from tripstats.__main__ import main
+    assert main(["list"]) == 0
+    assert "top_routes" in capsys.readouterr().out.split()
