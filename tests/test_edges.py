@@ -2,7 +2,6 @@
 import datetime as dt
 import math
 
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripstats.functions.columns import bucket_label, label_start, weekday_rank
@@ -185,4 +184,3 @@ def test_short_long_fold(spark):
     assert len(out) == 48
     assert {r.metric for r in out} == {"short_trip_count", "long_trip_count"}
     assert sum(r.value for r in out) == sum(3 * h for h in range(24))
-    assert F is not None

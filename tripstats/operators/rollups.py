@@ -116,8 +116,10 @@ def route_monthly(enriched: DataFrame, zones: DataFrame) -> DataFrame:
 
 def route_rollup(monthly: DataFrame, decimals: int | None = 2) -> DataFrame:
     """Routes over all month files: summed trips and the UNWEIGHTED mean of
-    the monthly means (the reference's definition), rounded to cents unless
-    ``decimals`` is None."""
+    the monthly means (the reference's definition), rounded to cents
+    (``decimals=2``) or left unrounded (``decimals=None``)."""
+    if decimals not in (2, None):
+        raise ValueError("decimals must be 2 or None")
     out = (monthly.groupBy(*ROUTE_KEYS)
            .agg(_sum_bigint("total_trip", "trip_count"),
                 F.avg("avg_trip_distance_km").alias("avg_trip_distance_km"),
