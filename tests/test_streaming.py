@@ -1,5 +1,7 @@
 """Streams equal the batch rollup, across micro-batches, restarts and replays."""
+import io
 import os
+from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
 
@@ -127,3 +129,25 @@ def test_stream_equals_batch_for_random_splits(spark, tmp_path, topic):
     cols = keys + vals
     assert _rounded(target.read(spark), cols) == _rounded(view(up), cols)
     up.unpersist()
+
+
+def test_compaction_keeps_state_and_survives_replays(spark, tmp_path):
+    t = KeyedTable(str(tmp_path / "kt"), ["k"])
+    mk = lambda rows: spark.createDataFrame(rows, "k int, v int")
+    t.write_batch(mk([(1, 10), (2, 20)]), 0)
+    t.write_batch(mk([(2, 21), (3, 30)]), 1)
+    assert t.compact(spark) == 1
+    assert t.compact(spark) == 1                      # nothing new: no rewrite
+    assert rows(t.read(spark), ["k", "v"]) == [(1, 10), (2, 21), (3, 30)]
+    t.write_batch(mk([(2, 21), (3, 30)]), 1)          # replay of a compacted batch
+    t.write_batch(mk([(3, 31)]), 2)
+    assert rows(t.read(spark), ["k", "v"]) == [(1, 10), (2, 21), (3, 31)]
+    assert t.compact(spark) == 2
+    t.write_batch(mk([(4, 40)]), 3)
+    assert rows(t.read(spark), ["k", "v"]) == [(1, 10), (2, 21), (3, 31), (4, 40)]
+    # reads after compaction scan the snapshot and newer batches only
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        t.read(spark).explain("formatted")
+    assert "PartitionFilters: [isnotnull(batch_id" in buf.getvalue()
+    assert "(batch_id" in buf.getvalue() and "> 2)" in buf.getvalue()

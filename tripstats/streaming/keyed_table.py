@@ -1,15 +1,26 @@
 """A table with one current row per key, fed by streaming micro-batches.
 
-Each micro-batch writes its rows to its own folder ``batch_id=N``
-(overwrite), so a replayed batch (foreachBatch is at-least-once) rewrites
-the same files instead of adding duplicates.  Reading returns, per key, the
-row of the highest batch: an update-mode aggregation emits full new rows
-for the keys it changed, so the newest row is the current one.
+Layout below ``path``:
+
+* ``batches/batch_id=N`` - the rows micro-batch N changed.  Each batch
+  overwrites its own folder, so a replayed batch (foreachBatch is
+  at-least-once) rewrites the same rows instead of adding duplicates.
+* ``snapshots/upto=K`` - the full current state as of batch K, written by
+  :meth:`KeyedTable.compact`.
+
+Reading takes the latest snapshot plus the batches after it and keeps, per
+key, the row of the highest batch: an update-mode aggregation emits full new
+rows for the keys it changed, so the newest row is the current one.
+Compaction bounds what a read scans to (snapshot + recent batches) however
+long the stream has run; replays stay safe because a batch always rewrites
+identical rows.
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +28,8 @@ from pyspark.sql import functions as F
 class KeyedTable:
     def __init__(self, path: str, keys: Sequence[str], order: Sequence[str] = ()):
         self.path = path.rstrip("/")
+        self.batches = f"{self.path}/batches"
+        self.snapshots = f"{self.path}/snapshots"
         self.keys = list(keys)
         # For pass-through feeds: within one batch keep the last record per
         # key by these columns (e.g. timestamp, offset).
@@ -28,11 +41,48 @@ class KeyedTable:
             batch = (batch.groupBy(*self.keys)
                      .agg(F.max_by(F.struct(*values), F.struct(*self.order)).alias("_v"))
                      .select(*self.keys, "_v.*"))
-        batch.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{self.batches}/batch_id={batch_id}")
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        df = spark.read.parquet(self.path)
+    @staticmethod
+    def _ids(spark: SparkSession, folder: str, name: str) -> list[int]:
+        """Partition values present under ``folder`` (from the file listing)."""
+        try:
+            files = spark.read.parquet(folder).inputFiles()
+        except AnalysisException:
+            return []
+        return sorted({int(m.group(1)) for f in files if (m := re.search(rf"/{name}=(\d+)/", f))})
+
+    def _latest(self, spark: SparkSession, upto: int | None) -> DataFrame:
+        parts = []
+        if upto is not None:
+            parts.append(spark.read.parquet(f"{self.snapshots}/upto={upto}")
+                         .withColumn("batch_id", F.lit(upto)))
+        if self._ids(spark, self.batches, "batch_id"):
+            b = spark.read.parquet(self.batches)
+            parts.append(b if upto is None else b.filter(F.col("batch_id") > upto))
+        if not parts:
+            raise FileNotFoundError(f"no rows written to {self.path} yet")
+        df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         values = [c for c in df.columns if c not in self.keys and c != "batch_id"]
         return (df.groupBy(*self.keys)
                 .agg(F.max_by(F.struct(*values), F.col("batch_id")).alias("_v"))
                 .select(*self.keys, "_v.*"))
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        snaps = self._ids(spark, self.snapshots, "upto")
+        return self._latest(spark, snaps[-1] if snaps else None)
+
+    def compact(self, spark: SparkSession) -> int | None:
+        """Write the current state as ``snapshots/upto=K`` (K = newest batch)
+        and return K; later reads skip every batch up to K."""
+        ids = self._ids(spark, self.batches, "batch_id")
+        if not ids:
+            return None
+        upto = ids[-1]
+        snaps = self._ids(spark, self.snapshots, "upto")
+        if snaps and snaps[-1] >= upto:
+            return snaps[-1]          # nothing new since the last compaction
+        # A batch written after the listing may already be in the state; it
+        # is read again from its folder (id > upto) with the same rows.
+        self.read(spark).write.mode("overwrite").parquet(f"{self.snapshots}/upto={upto}")
+        return upto
