@@ -49,15 +49,15 @@ DASHBOARD_SQL = {
         FROM taxi_duration_interval_f GROUP BY duration_interval, duration_interval_class
         ORDER BY interval_start ASC NULLS LAST, duration_interval""",
     "top_routes": """
-        WITH most AS (SELECT * FROM pick_drop_zone_f
-                      ORDER BY trip_count DESC, PULocationID, DOLocationID LIMIT 10)
-        SELECT t1.Zone AS pickup_zone, t2.Zone AS drop_zone, trip_count,
-               round(avg_trip_distance_km, 2) AS avg_trip_distance_km,
-               round(avg_fare_amount, 2) AS avg_fare_amount
-        FROM most
-        LEFT JOIN taxi_zone_lookup t1 ON PULocationID = t1.LocationID
-        LEFT JOIN taxi_zone_lookup t2 ON DOLocationID = t2.LocationID
-        ORDER BY trip_count DESC, PULocationID, DOLocationID""",
+        SELECT pz.Zone AS pickup_zone, dz.Zone AS drop_zone, r.trip_count,
+               round(r.avg_trip_distance_km, 2) AS avg_trip_distance_km,
+               round(r.avg_fare_amount, 2) AS avg_fare_amount
+        FROM (SELECT PULocationID, DOLocationID, trip_count, avg_trip_distance_km, avg_fare_amount
+              FROM pick_drop_zone_f
+              ORDER BY trip_count DESC, PULocationID, DOLocationID LIMIT 10) r
+        LEFT JOIN taxi_zone_lookup pz ON pz.LocationID = r.PULocationID
+        LEFT JOIN taxi_zone_lookup dz ON dz.LocationID = r.DOLocationID
+        ORDER BY r.trip_count DESC, r.PULocationID, r.DOLocationID""",
 }
 
 
