@@ -5,10 +5,10 @@ from tripstats.plans.oracle import r2, r6
 STREAM_SQL = {
     "to_messages": """
         SELECT 'etl.public.temp_table' AS topic,
-               to_json(struct_pack(pickup_date := CAST(pickup_date - DATE '1970-01-01' AS INTEGER),
-                                   pickup_hour := CAST(pickup_hour AS BIGINT),
-                                   pickup_days := pickup_days,
-                                   count_trip := count_trip)) AS value
+               CAST(to_json(struct_pack(pickup_date := CAST(pickup_date - DATE '1970-01-01' AS INTEGER),
+                                        pickup_hour := CAST(pickup_hour AS BIGINT),
+                                        pickup_days := pickup_days,
+                                        count_trip := count_trip)) AS VARCHAR) AS value
         FROM month_partials""",
     "cdc_unwrap": """
         SELECT pickup_date, CAST(pickup_hour AS BIGINT) AS pickup_hour, pickup_days, count_trip
