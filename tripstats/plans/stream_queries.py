@@ -71,7 +71,7 @@ def feed_topic(spark: SparkSession, sf_dir: str, topic: str, root: str) -> str:
     return folder
 
 
-def run_stream(spark: SparkSession, sf_dir: str, topic: str, compact_every: int = 2) -> DataFrame:
+def run_stream(spark: SparkSession, sf_dir: str, topic: str, compact_every: int = 3) -> DataFrame:
     """Each month's changes are published, then the stream runs once
     (``availableNow``) and stops; the next run restarts from the checkpoint.
     The target is compacted every ``compact_every`` runs and read after the
