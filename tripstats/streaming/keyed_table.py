@@ -44,21 +44,26 @@ class KeyedTable:
         batch.write.mode("overwrite").parquet(f"{self.batches}/batch_id={batch_id}")
 
     @staticmethod
-    def _ids(spark: SparkSession, folder: str, name: str) -> list[int]:
-        """Partition values present under ``folder`` (from the file listing)."""
+    def _listing(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame | None, list[int]]:
+        """The table under ``folder`` and its partition values (from the file listing)."""
         try:
-            files = spark.read.parquet(folder).inputFiles()
+            df = spark.read.parquet(folder)
         except AnalysisException:
-            return []
-        return sorted({int(m.group(1)) for f in files if (m := re.search(rf"/{name}=(\d+)/", f))})
+            return None, []
+        files = df.inputFiles()
+        return df, sorted({int(m.group(1)) for f in files if (m := re.search(rf"/{name}=(\d+)/", f))})
+
+    @classmethod
+    def _ids(cls, spark: SparkSession, folder: str, name: str) -> list[int]:
+        return cls._listing(spark, folder, name)[1]
 
     def _latest(self, spark: SparkSession, upto: int | None) -> DataFrame:
         parts = []
         if upto is not None:
             parts.append(spark.read.parquet(f"{self.snapshots}/upto={upto}")
                          .withColumn("batch_id", F.lit(upto)))
-        if self._ids(spark, self.batches, "batch_id"):
-            b = spark.read.parquet(self.batches)
+        b, ids = self._listing(spark, self.batches, "batch_id")
+        if ids:
             parts.append(b if upto is None else b.filter(F.col("batch_id") > upto))
         if not parts:
             raise FileNotFoundError(f"no rows written to {self.path} yet")
