@@ -25,6 +25,8 @@ DO = "DOLocationID"
 # A dimension side is broadcast only when a bounded count proves it has at
 # most this many rows; beyond it the join stays a shuffle join.
 BROADCAST_MAX_ROWS = 2_000_000
+# Largest generated method (bytes of bytecode) HotSpot's JIT compiles.
+JIT_METHOD_LIMIT = 8000
 # Means in reports are presented at this many decimals so that results do
 # not depend on the order in which partial sums were combined.
 REPORT_DECIMALS = 6

@@ -22,6 +22,8 @@ def build_session(master: str | None = None, app: str = "tripstats",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
+        # keep generated methods JIT-compilable on HotSpot (see plans.catalog.codegen_session)
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
