@@ -18,7 +18,7 @@ from tripstats.functions.columns import presented
 from tripstats.operators import reports as R
 from tripstats.operators import rollups as A
 from tripstats.operators.enrich import enrich_trips
-from tripstats.session import new_scratch
+from tripstats.session import app_id, child_session, new_scratch
 from tripstats.sinks.writers import write_month_partitions
 from tripstats.sources.tables import trips_from_tables, zones_from_tables
 
@@ -42,9 +42,7 @@ def codegen_session(spark: SparkSession) -> SparkSession:
     ``hugeMethodLimit`` at 8000 (the value Spark's configuration guide gives
     for HotSpot) Spark splits such a stage instead.
     """
-    child = spark.newSession()
-    child.conf.set("spark.sql.codegen.hugeMethodLimit", str(C.JIT_METHOD_LIMIT))
-    return child
+    return child_session(spark, {"spark.sql.codegen.hugeMethodLimit": str(C.JIT_METHOD_LIMIT)})
 
 _LOCK = threading.Lock()
 
@@ -61,7 +59,7 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     immutable within a session (as Spark's own cache does); ``forget()``
     drops the written copies' registry.
     """
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = (app_id(spark), os.path.abspath(sf_dir))
     with _LOCK:
         if key not in _ENRICHED:
             df = enrich_trips(trips_from_tables(codegen_session(spark), sf_dir))

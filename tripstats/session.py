@@ -35,20 +35,51 @@ def build_session(master: str | None = None, app: str = "tripstats",
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None for a Spark Connect client."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect sessions have no SparkContext
+        return None
+
+
+def app_id(spark: SparkSession) -> str:
+    sc = _context(spark)
+    return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "connect")
+
+
+def parallelism(spark: SparkSession, default: int = 8) -> int:
+    sc = _context(spark)
+    return sc.defaultParallelism if sc is not None else default
+
+
+def child_session(spark: SparkSession, conf: dict[str, str]) -> SparkSession:
+    """A session sharing ``spark``'s cluster with its own SQL settings; when
+    a new session cannot be made, ``spark`` itself, unchanged."""
+    try:
+        child = spark.newSession()
+    except Exception:
+        return spark
+    for k, v in conf.items():
+        child.conf.set(k, v)
+    return child
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is the shared checkpoint folder the cluster names; a
     machine-local folder is created only when the session has none (tests).
     """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = sc.getCheckpointDir()
+    sc = _context(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and sc is not None:
+        root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="tripstats-ckpt-")
-        sc.setCheckpointDir(root)
-    elif sc.getCheckpointDir() is None:
+        if sc is not None:
+            sc.setCheckpointDir(root)
+    elif sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
@@ -63,4 +94,5 @@ def local_path(uri: str) -> str:
     return uri[len("file:"):] if uri.startswith("file:") else uri
 
 
-__all__ = ["build_session", "scratch_root", "new_scratch", "local_path"]
+__all__ = ["build_session", "scratch_root", "new_scratch", "local_path", "app_id", "parallelism",
+           "child_session"]

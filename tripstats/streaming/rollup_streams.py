@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripstats.session import child_session, parallelism
 from tripstats.sources.messages import TOPIC_SCHEMAS, decode_change_feed
 from tripstats.streaming.keyed_table import KeyedTable
 
@@ -47,10 +48,8 @@ def stream_session(spark: SparkSession, state_partitions: int | None = None) ->
     ``spark.sql.shuffle.partitions`` when it first starts; setting it here
     leaves the caller's session untouched.
     """
-    child = spark.newSession()
-    n = state_partitions or min(spark.sparkContext.defaultParallelism, MAX_STATE_PARTITIONS)
-    child.conf.set("spark.sql.shuffle.partitions", str(max(1, n)))
-    return child
+    n = state_partitions or min(parallelism(spark), MAX_STATE_PARTITIONS)
+    return child_session(spark, {"spark.sql.shuffle.partitions": str(max(1, n))})
 
 
 # topic -> (aggregation or None for pass-through, target keys)
