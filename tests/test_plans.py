@@ -60,3 +60,15 @@ def test_year_filter_reaches_a_file_scan(spark, tmp_path):
     Q.enriched(spark, SF_SMALL).write.parquet(path)
     p = plan(A.month_partials(spark.read.parquet(path)))
     assert "GreaterThanOrEqual(tpep_pickup_datetime" in p
+
+
+def test_registered_queries_prune_and_push(spark):
+    q = E.queries()
+    p = plan(q["union_months"](spark, SF_SMALL))
+    assert "PartitionFilters: [src_month" in p and "IN (1,2,3,4,5)" in p
+    p = plan(q["hourly_counts"](spark, SF_SMALL))
+    assert "GreaterThanOrEqual(tpep_pickup_datetime,2025-01-01T00:00)" in p
+    assert "LessThan(tpep_pickup_datetime,2026-01-01T00:00)" in p
+    p = plan(q["trips_with_zones"](spark, SF_SMALL))
+    assert p.count("BroadcastHashJoin LeftOuter") == 2
+    assert "GreaterThan(total_amount_excluding_tips,0.0)" in p
