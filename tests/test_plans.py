@@ -72,3 +72,33 @@ def test_registered_queries_prune_and_push(spark):
     p = plan(q["trips_with_zones"](spark, SF_SMALL))
     assert p.count("BroadcastHashJoin LeftOuter") == 2
     assert "GreaterThan(total_amount_excluding_tips,0.0)" in p
+
+
+def test_hot_key_in_shuffle_join_is_split_by_aqe(spark):
+    """One key holds a third of the fact rows and the dimension is too large
+    to broadcast: AQE splits the hot partition instead of one long task."""
+    from pyspark.sql import functions as F
+    conf = {"spark.sql.adaptive.enabled": "true",
+            "spark.sql.adaptive.skewJoin.enabled": "true",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    s = spark.newSession()
+    for k, v in conf.items():
+        s.conf.set(k, v)
+    n = 30_000
+    fact = s.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"),
+                             F.col("id").alias("v"))
+    dim = s.range(n).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    joined = join_dimension(fact, dim, "k", max_rows=100)      # too large: shuffle join
+    out = joined.collect()                                      # executes this plan (AQE final)
+    assert len(out) == n
+    assert sum(r.w for r in out) == sum(2 * (0 if i % 3 == 0 else i) for i in range(n))
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        joined.explain()
+    final = buf.getvalue()
+    assert "BroadcastHashJoin" not in final
+    assert "isFinalPlan=true" in final and "skew=true" in final
