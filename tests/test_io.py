@@ -97,3 +97,16 @@ def test_cli_list_and_batch(spark, tmp_path, capsys):
     from tripstats.__main__ import main
     assert main(["list"]) == 0
     assert "top_routes" in capsys.readouterr().out.split()
+
+
+def test_batch_tables_exported_over_jdbc(spark, tmp_path):
+    url = "jdbc:derby:memory:tripstats_export;create=true"
+    tables = batch.run(spark, Q.trips(spark, SF_SMALL), Q.zones(spark, SF_SMALL), str(tmp_path / "wh"))
+    names = ("taxi_trips", "temp_table", "mv_taxi_date_hour_daily", "mv_pick_drop_zone")
+    assert batch.export_jdbc(spark, tables, url, DERBY, names) == list(names)
+    for n in names:
+        assert read_jdbc_table(spark, url, n, DERBY).count() == spark.read.parquet(tables[n]).count()
+    # the database can now answer the dashboard's daily question itself
+    q = 'SELECT SUM("total_trip") AS s FROM mv_taxi_date_hour_daily'
+    assert read_jdbc_query(spark, url, q, DERBY).first().S == \
+        spark.read.parquet(tables["mv_taxi_date_hour_daily"]).agg(F.sum("total_trip")).first()[0]

@@ -62,3 +62,15 @@ def run(spark: SparkSession, trips: DataFrame, zones: DataFrame, warehouse: str)
     upstream = write_upstream(spark, trips_path, zones, warehouse)
     views = write_views(spark, upstream, warehouse)
     return {"taxi_trips": trips_path, **upstream, **views}
+
+
+def export_jdbc(spark: SparkSession, tables: dict[str, str], url: str, properties: dict,
+                names: tuple[str, ...] | None = None, mode: str = "overwrite") -> list[str]:
+    """Copy the batch job's tables into a database over JDBC (one table each,
+    same names); each task writes its partition over its own connection."""
+    from tripstats.sinks.writers import write_jdbc
+    done = []
+    for name in names or tuple(tables):
+        write_jdbc(spark.read.parquet(tables[name]), url, name, properties, mode=mode)
+        done.append(name)
+    return done
