@@ -20,7 +20,10 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
                    max_rows: int = C.BROADCAST_MAX_ROWS, small: bool | None = None) -> DataFrame:
     """Join ``fact`` with ``dim``; broadcast ``dim`` only if it is proven small.
 
-    ``small`` passes a verdict already obtained from ``has_at_most``.
+    Callers pass ``dim`` projected to the columns the join needs (a key and
+    one or two values), so the row bound is also a byte bound: at the
+    default 2 million rows, tens of MB.  ``small`` passes a verdict already
+    obtained from ``has_at_most``.
     Beyond the bound the join is left to Catalyst/AQE (shuffle join, with
     AQE's skew-split for hot keys on the fact side).
     """
