@@ -110,3 +110,13 @@ def test_batch_tables_exported_over_jdbc(spark, tmp_path):
     q = 'SELECT SUM("total_trip") AS s FROM mv_taxi_date_hour_daily'
     assert read_jdbc_query(spark, url, q, DERBY).first().S == \
         spark.read.parquet(tables["mv_taxi_date_hour_daily"]).agg(F.sum("total_trip")).first()[0]
+
+
+def test_monthly_files_with_schema_drift(spark, tmp_path):
+    folder = str(tmp_path)
+    p1, p2 = month_paths(folder, months=(1, 2))
+    spark.createDataFrame([(1.0, "N")], "trip_distance double, store_and_fwd_flag string").write.parquet(p1)
+    spark.createDataFrame([(2.0, 0.5)], "trip_distance double, airport_fee double").write.parquet(p2)
+    got = rows(scan_monthly_trips(spark, folder, months=(1, 2)),
+               ["src_month", "trip_distance", "store_and_fwd_flag", "airport_fee"])
+    assert got == [(1, 1.0, "N", None), (2, 2.0, None, 0.5)]

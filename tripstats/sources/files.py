@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripstats import config as C
+from tripstats.operators.reshape import union_all
 
 MONTH_FILE_TEMPLATE = "yellow_tripdata_{year:04d}-{month:02d}.parquet"
 
@@ -19,16 +20,19 @@ def month_paths(folder: str, year: int = C.REPORT_YEAR,
 def scan_monthly_trips(spark: SparkSession, folder: str, year: int = C.REPORT_YEAR,
                        months: Iterable[int] = C.REPORT_MONTHS,
                        template: str = MONTH_FILE_TEMPLATE) -> DataFrame:
-    """All monthly files in ONE scan; ``src_month`` comes from each row's file name.
-
-    One multi-path scan replaces a driver loop of per-month jobs: the files
-    are split across all executors at once, and column pruning / filter
-    pushdown apply to every file.
+    """All monthly files as ONE plan: a union of per-month scans, each tagged
+    with its month file as a literal ``src_month``.
+
+    The union runs as one job with the splits of every file in parallel
+    (no driver loop of per-month jobs); column pruning and filter pushdown
+    reach each scan; the month costs nothing per row (no parsing of file
+    paths); and files whose schemas drift between months (a column added or
+    missing) union by name, with NULL for a missing column.
     """
-    df = spark.read.parquet(*month_paths(folder, year, months, template))
-    # The month is read from the path (a "file" may be a folder of parts).
-    month = F.regexp_extract(F.col("_metadata.file_path"), r"_(\d{4})-(\d{2})\.parquet", 2)
-    return df.withColumn("src_month", month.cast("int"))
+    months = list(months)
+    frames = [spark.read.parquet(path).withColumn("src_month", F.lit(m).cast("int"))
+              for m, path in zip(months, month_paths(folder, year, months, template))]
+    return union_all(frames, allow_missing=True)
 
 
 def read_zone_csv(spark: SparkSession, path: str) -> DataFrame:
