@@ -11,7 +11,10 @@ the same tables.  All paths are below ``warehouse`` (a shared folder).
 """
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tripstats import config as C
 from tripstats.operators import rollups as A
@@ -29,12 +32,17 @@ def write_trip_tables(trips: DataFrame, warehouse: str) -> str:
     return path
 
 
-def write_upstream(spark: SparkSession, trips_path: str, zones: DataFrame, warehouse: str) -> dict[str, str]:
+def write_upstream(spark: SparkSession, trips_path: str, zones: DataFrame, warehouse: str,
+                   months: Iterable[int] | None = None) -> dict[str, str]:
+    """The four upstream rollups.  With ``months``, only those month
+    partitions of the per-month rollups are rebuilt (their scan is pruned to
+    those months); the all-month fare profile is rebuilt from every month."""
     enriched = spark.read.parquet(trips_path)
+    changed = enriched if months is None else enriched.filter(F.col("src_month").isin(*months))
     paths = {t: f"{warehouse}/{t}" for t in UPSTREAM}
-    write_month_partitions(A.month_partials(enriched), paths["temp_table"])
-    write_month_partitions(A.duration_histogram(enriched), paths["temp_duration_interval"])
-    write_month_partitions(A.route_monthly(enriched, zones), paths["temp_pick_drop_zone"])
+    write_month_partitions(A.month_partials(changed), paths["temp_table"])
+    write_month_partitions(A.duration_histogram(changed), paths["temp_duration_interval"])
+    write_month_partitions(A.route_monthly(changed, zones), paths["temp_pick_drop_zone"])
     write_sorted(A.hourly_profile(enriched), paths["temp_trip_fare"], ["pickup_hour"])
     return paths
 
@@ -56,10 +64,21 @@ def write_views(spark: SparkSession, upstream: dict[str, str], warehouse: str) -
     return paths
 
 
-def run(spark: SparkSession, trips: DataFrame, zones: DataFrame, warehouse: str) -> dict[str, str]:
-    """The whole batch job; returns table name -> path."""
+def run(spark: SparkSession, trips: DataFrame, zones: DataFrame, warehouse: str,
+        months: Iterable[int] | None = None) -> dict[str, str]:
+    """The whole batch job; returns table name -> path.
+
+    ``months`` makes it incremental: only those month files are cleaned and
+    written (``trips`` is cut to them; pass a scan of just those files to
+    read nothing else), only their partitions of the per-month rollups are
+    replaced, and the small all-month tables are rebuilt.  A new or
+    corrected month thus costs one month of work, not a full reload.
+    """
+    if months is not None:
+        months = sorted(set(months))
+        trips = trips.filter(F.col("src_month").isin(*months))
     trips_path = write_trip_tables(trips, warehouse)
-    upstream = write_upstream(spark, trips_path, zones, warehouse)
+    upstream = write_upstream(spark, trips_path, zones, warehouse, months)
     views = write_views(spark, upstream, warehouse)
     return {"taxi_trips": trips_path, **upstream, **views}
 
