@@ -2,8 +2,10 @@
 
   python -m tripstats list
   python -m tripstats report <name> <sf_dir> [--rows N]
-  python -m tripstats batch <sf_dir> <warehouse>
-  python -m tripstats batch-files <trip_folder> <zone_csv> <warehouse>
+  python -m tripstats batch <sf_dir> <warehouse> [--months 2,3]
+  python -m tripstats batch-files <trip_folder> <zone_csv> <warehouse> [--months 2,3]
+
+``--months`` reloads only those months (see ``plans.batch.run``).
 
 ``sf_dir`` is a folder of the benchmark tables (trips are projected from
 them); ``trip_folder`` holds monthly ``yellow_tripdata_YYYY-MM.parquet``
@@ -28,11 +30,14 @@ def main(argv: list[str] | None = None) -> int:
     b = sub.add_parser("batch")
     b.add_argument("sf_dir")
     b.add_argument("warehouse")
+    b.add_argument("--months", default=None)
     bf = sub.add_parser("batch-files")
     bf.add_argument("trip_folder")
     bf.add_argument("zone_csv")
     bf.add_argument("warehouse")
+    bf.add_argument("--months", default=None)
     a = p.parse_args(argv)
+    months = [int(m) for m in a.months.split(",")] if getattr(a, "months", None) else None
 
     from tripstats.plans.catalog import queries
     if a.cmd == "list":
@@ -46,13 +51,14 @@ def main(argv: list[str] | None = None) -> int:
     elif a.cmd == "batch":
         from tripstats.plans import batch, catalog
         for name, path in batch.run(spark, catalog.trips(spark, a.sf_dir), catalog.zones(spark, a.sf_dir),
-                                    a.warehouse).items():
+                                    a.warehouse, months).items():
             print(f"{name}\t{path}")
     else:
         from tripstats.plans import batch
         from tripstats.sources.files import read_zone_csv, scan_monthly_trips
-        tables = batch.run(spark, scan_monthly_trips(spark, a.trip_folder), read_zone_csv(spark, a.zone_csv),
-                           a.warehouse)
+        trips = (scan_monthly_trips(spark, a.trip_folder, months=months) if months
+                 else scan_monthly_trips(spark, a.trip_folder))
+        tables = batch.run(spark, trips, read_zone_csv(spark, a.zone_csv), a.warehouse, months)
         for name, path in tables.items():
             print(f"{name}\t{path}")
     spark.stop()
