@@ -41,3 +41,14 @@ def test_enrich_row_counts_match_fixture_notes(spark):
     t = Q.trips(spark, SF_SMALL)
     assert t.count() == 6000
     assert Q.enriched(spark, SF_SMALL).count() == 5421
+
+
+def test_enriched_copy_rebuilt_when_removed(spark):
+    import shutil
+    from tripstats.session import local_path
+    e1 = Q.enriched(spark, SF_SMALL)
+    path = local_path(e1.inputFiles()[0].split("/src_month=")[0])
+    # only ever the test session's own copy, below its temporary checkpoint folder
+    assert path.startswith(local_path(spark.conf.get("spark.checkpoint.dir"))) and "pytest" in path
+    shutil.rmtree(path)
+    assert Q.enriched(spark, SF_SMALL).count() == 5421

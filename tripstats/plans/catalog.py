@@ -10,6 +10,7 @@ import os
 import threading
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,14 +61,21 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     drops the written copies' registry.
     """
     key = (app_id(spark), os.path.abspath(sf_dir))
-    with _LOCK:
-        if key not in _ENRICHED:
-            df = enrich_trips(trips_from_tables(codegen_session(spark), sf_dir))
-            path = new_scratch(spark, "enriched")
-            write_month_partitions(df, path, sort_by=("pickup_date", "pickup_hour"))
-            _ENRICHED[key] = (path, df.schema)
-        path, schema = _ENRICHED[key]
-    return spark.read.schema(schema).parquet(path).select(*schema.names)
+    for attempt in (1, 2):
+        with _LOCK:
+            if key not in _ENRICHED:
+                df = enrich_trips(trips_from_tables(codegen_session(spark), sf_dir))
+                path = new_scratch(spark, "enriched")
+                write_month_partitions(df, path, sort_by=("pickup_date", "pickup_hour"))
+                _ENRICHED[key] = (path, df.schema)
+            path, schema = _ENRICHED[key]
+        try:
+            return spark.read.schema(schema).parquet(path).select(*schema.names)
+        except AnalysisException:
+            if attempt == 2:
+                raise
+            with _LOCK:                 # the written copy was removed: build it again
+                _ENRICHED.pop(key, None)
 
 
 def forget() -> None:
