@@ -90,8 +90,9 @@ def new_scratch(spark: SparkSession, name: str) -> str:
 
 
 def local_path(uri: str) -> str:
-    """Strip a ``file:`` scheme (for local-only helpers in tests)."""
-    return uri[len("file:"):] if uri.startswith("file:") else uri
+    """A ``file:`` URI (``file:/x``, ``file:///x``) as a plain path (for
+    local-only helpers in tests); other paths unchanged."""
+    return "/" + uri[len("file:"):].lstrip("/") if uri.startswith("file:") else uri
 
 
 __all__ = ["build_session", "scratch_root", "new_scratch", "local_path", "app_id", "parallelism",
