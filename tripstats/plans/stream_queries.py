@@ -21,22 +21,41 @@ from tripstats.sources.messages import (TOPIC_SCHEMAS, decode_change_feed, folde
 from tripstats.streaming.rollup_streams import start_rollup_stream, stream_session
 
 
-def upstream_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The four per-month upstream tables, keyed by topic, each with ``src_month``."""
+def upstream_table(spark: SparkSession, sf_dir: str, topic: str) -> DataFrame:
+    """The per-month upstream table of ``topic``, with ``src_month``."""
     enriched = Q.enriched(spark, sf_dir)
-    zones = Q.zones(spark, sf_dir)
-    return {
-        "temp_table": A.month_partials(enriched).select(
+    if topic == "temp_table":
+        return A.month_partials(enriched).select(
             "src_month", "pickup_date", F.col("pickup_hour").cast("long").alias("pickup_hour"),
-            "pickup_days", "count_trip"),
-        "temp_duration_interval": A.duration_histogram(enriched).select(
-            "src_month", "duration_interval", "trip_count", "duration_interval_class"),
-        "temp_pick_drop_zone": A.route_monthly(enriched, zones),
+            "pickup_days", "count_trip")
+    if topic == "temp_duration_interval":
+        return A.duration_histogram(enriched).select(
+            "src_month", "duration_interval", "trip_count", "duration_interval_class")
+    if topic == "temp_pick_drop_zone":
+        return A.route_monthly(enriched, Q.zones(spark, sf_dir))
+    if topic == "temp_trip_fare":
         # The fare table is one table over all months, rewritten by each run.
-        "temp_trip_fare": A.hourly_profile(enriched).select(
+        return A.hourly_profile(enriched).select(
             F.lit(0).alias("src_month"), F.col("pickup_hour").cast("long").alias("pickup_hour"),
-            "avg_fare_per_km", "avg_tip_amount", "short_trip_count", "long_trip_count"),
-    }
+            "avg_fare_per_km", "avg_tip_amount", "short_trip_count", "long_trip_count")
+    raise KeyError(topic)
+
+
+class _Upstream(dict):
+    """``topic -> upstream table``, each built only when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self._args = (spark, sf_dir)
+
+    def __missing__(self, topic: str) -> DataFrame:
+        self[topic] = upstream_table(*self._args, topic)
+        return self[topic]
+
+
+def upstream_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The four per-month upstream tables, keyed by topic (built on first use)."""
+    return _Upstream(spark, sf_dir)
 
 
 def write_upstream(spark: SparkSession, sf_dir: str, topic: str, root: str) -> DataFrame:
