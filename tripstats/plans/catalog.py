@@ -1,8 +1,9 @@
 """Named queries: ``name -> fn(spark, sf_dir) -> DataFrame``.
 
-Each query reads the benchmark tables in ``sf_dir`` (through the trip
-projection) and builds its result with the operators; nothing is collected
-to the driver.
+Each query reads the benchmark tables in ``sf_dir``: ``scan_trips`` and
+``zone_lookup`` directly, the others through the enriched trip table that
+Spark derives from them once per session (see :func:`enriched`).  Results
+are built with the operators; nothing is collected to the driver.
 """
 from __future__ import annotations
 
@@ -31,6 +32,7 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ENRICHED: dict[tuple[str, str], tuple[str, object]] = {}
+_LOCK = threading.Lock()
 
 
 def codegen_session(spark: SparkSession) -> SparkSession:
@@ -41,12 +43,11 @@ def codegen_session(spark: SparkSession) -> SparkSession:
     generates one large method; above 8000 bytes of bytecode HotSpot never
     compiles it, and it runs interpreted (about 3x the CPU at sf0.1).  With
     ``hugeMethodLimit`` at 8000 (the value Spark's configuration guide gives
-    for HotSpot) Spark splits such a stage instead.
+    for HotSpot) Spark falls back, for that stage only, to per-operator
+    generated code whose methods the JIT does compile.
     """
     return child_session(spark, {"spark.sql.codegen.hugeMethodLimit": str(C.JIT_METHOD_LIMIT)})
 
-_LOCK = threading.Lock()
-
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enriched trips, written once per session and source folder.
