@@ -156,13 +156,20 @@ def folder_record_stream(spark: SparkSession, folder: str, max_files_per_trigger
 
 
 def kafka_record_stream(spark: SparkSession, bootstrap_servers: str, topic: str,
-                        starting_offsets: str = "earliest") -> DataFrame:
-    """Records from a Kafka topic (needs the spark-sql-kafka connector)."""
-    return (spark.readStream.format("kafka")
-            .option("kafka.bootstrap.servers", bootstrap_servers)
-            .option("subscribe", topic)
-            .option("startingOffsets", starting_offsets)
-            .load()
+                        starting_offsets: str = "earliest",
+                        max_offsets_per_trigger: int | None = None) -> DataFrame:
+    """Records from a Kafka topic (needs the spark-sql-kafka connector).
+
+    ``max_offsets_per_trigger`` bounds each micro-batch, so a large backlog
+    (a first start from the earliest offset) is consumed in steps.
+    """
+    reader = (spark.readStream.format("kafka")
+              .option("kafka.bootstrap.servers", bootstrap_servers)
+              .option("subscribe", topic)
+              .option("startingOffsets", starting_offsets))
+    if max_offsets_per_trigger:
+        reader = reader.option("maxOffsetsPerTrigger", max_offsets_per_trigger)
+    return (reader.load()
             .select("topic", "partition", "offset", "timestamp",
                     F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value")))
 
