@@ -151,3 +151,14 @@ def test_compaction_keeps_state_and_survives_replays(spark, tmp_path):
         t.read(spark).explain("formatted")
     assert "PartitionFilters: [isnotnull(batch_id" in buf.getvalue()
     assert "(batch_id" in buf.getvalue() and "> 2)" in buf.getvalue()
+
+
+def test_pass_through_batch_keeps_last_record_per_key(spark, tmp_path):
+    import datetime as dt
+    t = KeyedTable(str(tmp_path / "kt"), ["pickup_hour"], order=["timestamp", "offset"])
+    t0, t1 = dt.datetime(2025, 1, 1, 0, 0, 0), dt.datetime(2025, 1, 1, 0, 0, 1)
+    batch = spark.createDataFrame(
+        [(5, 1.0, t0, 7), (5, 2.0, t1, 3), (5, 3.0, t0, 9), (6, 4.0, t0, 1)],
+        "pickup_hour long, avg_tip_amount double, timestamp timestamp, offset long")
+    t.write_batch(batch, 0)
+    assert rows(t.read(spark), ["pickup_hour", "avg_tip_amount"]) == [(5, 2.0), (6, 4.0)]
