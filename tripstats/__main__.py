@@ -45,7 +45,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
 
     from tripstats.session import build_session
-    spark = build_session(os.environ.get("SPARK_MASTER", "local[*]"))
+    spark = build_session(os.environ.get("SPARK_MASTER"))   # None: spark-submit's or local[*]
     if a.cmd == "report":
         queries()[a.name](spark, a.sf_dir).show(a.rows, truncate=False)
     elif a.cmd == "batch":
