@@ -66,7 +66,7 @@ def write_upstream(spark: SparkSession, sf_dir: str, topic: str, root: str) -> D
     and one file, whatever the session's shuffle partition count.
     """
     table_path = f"{root}/{topic}"
-    (upstream_tables(spark, sf_dir)[topic].repartition("src_month")
+    (upstream_table(spark, sf_dir, topic).repartition("src_month")
      .write.partitionBy("src_month").parquet(table_path))
     return spark.read.parquet(table_path)
 
@@ -131,13 +131,13 @@ def q_stream_fare(spark, sf_dir):
 
 
 def q_to_messages(spark, sf_dir):
-    rows = upstream_tables(spark, sf_dir)["temp_table"].drop("src_month")
+    rows = upstream_table(spark, sf_dir, "temp_table").drop("src_month")
     return to_messages(rows, C.TOPIC_PREFIX + "temp_table").select("topic", "value")
 
 
 def q_cdc_unwrap(spark, sf_dir):
     """Enveloped change events of the hourly table decoded to new row states."""
-    rows = upstream_tables(spark, sf_dir)["temp_table"].drop("src_month")
+    rows = upstream_table(spark, sf_dir, "temp_table").drop("src_month")
     records = to_messages(rows, C.TOPIC_PREFIX + "temp_table", envelope=True)
     return decode_change_feed(records, TOPIC_SCHEMAS["temp_table"])
 
