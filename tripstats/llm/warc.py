@@ -214,7 +214,9 @@ def read_archives(manifest: DataFrame, root: str, chunk: int = CHUNK, with_data:
     (null unless ``with_data``).  A revisit is one row without bytes.
     A payload that does not match its declared digest raises.
     """
-    return manifest.select("file").repartition("file").mapInArrow(_reader(root, chunk, with_data), READ)
+    files = manifest.select("file")
+    # a task per file: by bytes the manifest is so small that it would all go to one task
+    return files.repartition(max(1, files.count()), "file").mapInArrow(_reader(root, chunk, with_data), READ)
 
 
 def archive_pages(pages: DataFrame, chunk: int = CHUNK, min_shared: int = MIN_SHARED,
