@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tripstats.llm import exact_dedup, mixing, warc
+from tripstats.llm import decontaminate, exact_dedup, licenses, mixing, warc
 from tripstats.llm.common import table
 
 
@@ -16,13 +16,23 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop(
+        "text_sha256")
+
+
+def op8_license_scan(spark, sf_dir):
+    return licenses.label_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark, sf_dir):
     return (warc.archive_pages(table(spark, sf_dir, "pages")).where("last")
             .select("page_id", "payload_bytes", F.when(F.col("record_type") == "revisit", F.col("payload_digest"))
                     .otherwise(F.col("digest_so_far")).alias("payload_digest"), "record_type", "refers_to"))
 
 
-QUERIES = {"op1_entropy_mix": op1_entropy_mix, "op4_exact_dedup": op4_exact_dedup, "op10_warc": op10_warc}
+QUERIES = {"op1_entropy_mix": op1_entropy_mix, "op4_exact_dedup": op4_exact_dedup,
+           "op6_decontaminate": op6_decontaminate, "op8_license_scan": op8_license_scan, "op10_warc": op10_warc}
 
 ORACLE = {
     "op4_exact_dedup": r"""
@@ -31,6 +41,28 @@ ORACLE = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    "op6_decontaminate": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+             b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+             i AS (SELECT item_id, w, least(len(w), 13) AS n,
+                          unnest(range(len(w) - least(len(w), 13) + 1)) AS s FROM b WHERE len(w) > 0),
+             win AS (SELECT DISTINCT item_id, n, array_to_string(w[s + 1:s + n], ' ') AS t FROM i),
+             l AS (SELECT DISTINCT n FROM win),
+             g AS (SELECT doc_id, n, w, unnest(range(len(w) - n + 1)) AS s FROM d, l WHERE len(w) >= n),
+             h AS (SELECT DISTINCT g.doc_id, g.s, g.n, win.item_id FROM g JOIN win
+                   ON win.n = g.n AND win.t = array_to_string(g.w[g.s + 1:g.s + g.n], ' ')),
+             p AS (SELECT doc_id, count(DISTINCT q) AS n_hit
+                   FROM (SELECT doc_id, unnest(range(s, s + n)) AS q FROM h) GROUP BY doc_id),
+             m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+                   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit,
+               coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+        FROM d LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)""",
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
              d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest,
