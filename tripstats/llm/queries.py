@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tripstats.llm import decontaminate, exact_dedup, licenses, mixing, warc
+from tripstats.llm import decontaminate, exact_dedup, licenses, mixing, quality, suffix_dedup, warc
 from tripstats.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_entropy_mix(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -25,14 +29,20 @@ def op8_license_scan(spark, sf_dir):
     return licenses.label_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_knn(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_warc(spark, sf_dir):
     return (warc.archive_pages(table(spark, sf_dir, "pages")).where("last")
             .select("page_id", "payload_bytes", F.when(F.col("record_type") == "revisit", F.col("payload_digest"))
                     .otherwise(F.col("digest_so_far")).alias("payload_digest"), "record_type", "refers_to"))
 
 
-QUERIES = {"op1_entropy_mix": op1_entropy_mix, "op4_exact_dedup": op4_exact_dedup,
-           "op6_decontaminate": op6_decontaminate, "op8_license_scan": op8_license_scan, "op10_warc": op10_warc}
+QUERIES = {"op1_entropy_mix": op1_entropy_mix, "op3_suffix_dedup": op3_suffix_dedup, "op4_exact_dedup": op4_exact_dedup,
+           "op6_decontaminate": op6_decontaminate, "op8_license_scan": op8_license_scan, 
+           "op9_quality_knn": op9_quality_knn, "op10_warc": op10_warc}
 
 ORACLE = {
     "op4_exact_dedup": r"""
