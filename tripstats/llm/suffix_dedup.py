@@ -218,7 +218,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _cut_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
-        for key, text, spans in zip(batch.column("key"), batch.column("text"), batch.column("spans")):
+        for key, text, spans in zip(batch.column("row"), batch.column("text"), batch.column("spans")):
             b, gone = text.as_py() or b"", merged([(x["start"], x["end"]) for x in spans.as_py()])
             sha, at = hashlib.sha256(), 0
             for i, j in gone:
@@ -229,15 +229,9 @@ def _cut_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                          [{"start": i, "end": j} for i, j in gone]))
         k, n, m, s, g = zip(*rows) if rows else ((),) * 5
         yield pa.RecordBatch.from_arrays(
-            [pa.array(k, pa.binary()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(s, pa.string()),
+            [pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(s, pa.string()),
              pa.array(g, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-            ["key", "n_removed", "n_spans", "kept_sha256", "removed"])
-
-
-def _slices(need: DataFrame, texts: DataFrame) -> DataFrame:
-    """``need(key, ...)`` with the texts of its keys; the hint depends on its measured size."""
-    size = need.agg(F.count("*").alias("n"), F.sum(F.size("spans")).alias("m")).first()
-    return texts.join(small(need, (size["n"] or 0) + (size["m"] or 0), 48), "key")
+            ["row", "n_removed", "n_spans", "kept_sha256", "removed"])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
@@ -265,39 +259,45 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     texts = cut(rows.groupBy("key").agg(F.min(id_order).alias("first"), F.count("*").alias("copies"),
                                         *[F.first(c).alias(c) for c in ("anchors", "spans", "firsts", "lasts")]),
                 "texts")
-    runs = texts.select("first", "copies", F.inline(F.arrays_zip(
+    runs = texts.select("first.*", "copies", F.inline(F.arrays_zip(
         F.col("anchors").alias("anchor"), F.col("spans").alias("span"), F.col("firsts").alias("begin"),
-        F.col("lasts").alias("last")))).toDF("first", "copies", "anchor", "span", "begin", "last")
-    place = F.struct("first", "begin", "last")
+        F.col("lasts").alias("last")))).toDF("no_id", "doc_id", "row", "copies", "anchor", "span", "begin", "last")
+    place = F.struct("no_id", "doc_id", "row", "begin")
     spans = cut(runs.groupBy("anchor", "span").agg(F.sum("copies").alias("n"), F.min(place).alias("place")), "spans")
-    shared = cut(spans.groupBy("anchor").agg(F.count("*").alias("d")).where("d > 1"), "anchors")
-
-    # 1. runs repeated as a whole
-    twice = spans.where("n > 1").select("anchor", "span", F.col("place").alias("earliest"))
-    whole = runs.join(twice, ["anchor", "span"])
+    shared = spans.groupBy("anchor").agg(F.count("*").alias("d")).where("d > 1")
+
+    # 1. runs repeated as a whole, and those that share an anchor only
+    asked = cut(spans.join(shared, "anchor", "left").where("n > 1 or d is not null")
+                .select("anchor", "span", "n", "d", F.col("place.row").alias("at_row"),
+                        F.col("place.begin").alias("at_begin")), "asked")
+    is_place = (F.col("row") == F.col("at_row")) & (F.col("begin") == F.col("at_begin"))
+    near = cut(runs.select("anchor", "span", "row", "begin", "last").join(asked, ["anchor", "span"])
+               .select("anchor", "span", "row", "begin", "last", "n", "d", is_place.alias("is_place")), "near")
+    whole = near.where(F.col("n") > 1)
     if keep_first:
-        whole = whole.where(place != F.col("earliest"))
-    whole = whole.select(F.col("first.row").alias("text"), F.col("begin").alias("start"),
+        whole = whole.where(~F.col("is_place"))
+    whole = whole.select(F.col("row").alias("text"), F.col("begin").alias("start"),
                          (F.col("last") + length).alias("end"))
 
-    # 2. the dictionary: one span of each kind, with its bytes, in suffix order
-    chunks = F.ceil(F.col("d") / CHUNK).cast("int")
-    kinds = (spans.join(shared, "anchor")
-             .select("anchor", F.col("place.first").alias("first"), F.col("place.begin").alias("begin"),
-                     F.col("place.last").alias("last"), chunks.alias("chunks"),
-                     F.pmod(F.xxhash64("span"), chunks).cast("int").alias("chunk")))
-    need = cut(kinds.groupBy(F.col("first.row").alias("row"))
-               .agg(F.collect_list(F.struct("anchor", "begin", "last", "chunk", "chunks")).alias("spans"))
-               .join(texts.select("key", "first"), F.col("row") == F.col("first.row")).select("key", "first", "spans"),
-               "dictionary")
+    # the texts that matter, once each; all later steps read this part only
+    keys = cut(near.select("row").distinct().join(texts.select("key", F.col("first.row").alias("row"),
+                                                               F.col("first.doc_id").alias("first_id")), "row"), "keys")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                          F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    source = source.withColumn("key", F.unhex(F.md5("text")))
-    pieces = (_slices(need, source).where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
-              .select("first", "text", F.inline("spans"))
-              .select(F.col("first.row").alias("text_id"), F.col("first.no_id").alias("no_id"),
-                      F.col("first.doc_id").alias("doc_id"), "anchor", F.col("begin").alias("first"), "last", "chunk",
-                      "chunks", F.expr(f"substring(text, begin + 1, last - begin + {length})").alias("span"))
+    source = (source.withColumn("key", F.unhex(F.md5("text"))).join(small(keys, keys.count(), 64), "key")
+              .where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("row", "doc_id", "text"))
+    source = cut(source, "candidates")
+
+    # 2. the dictionary: one span of each kind, with its bytes, in suffix order
+    chunks = F.ceil(F.col("d") / CHUNK).cast("int")
+    kinds = near.where(F.col("is_place") & F.col("d").isNotNull()).select(
+        "anchor", "row", "begin", "last", chunks.alias("chunks"),
+        F.pmod(F.xxhash64("span"), chunks).cast("int").alias("chunk"))
+    need = kinds.groupBy("row").agg(F.collect_list(F.struct("anchor", "begin", "last", "chunk", "chunks")).alias("spans"))
+    pieces = (source.join(need, "row").select("row", "doc_id", "text", F.inline("spans"))
+              .select(F.col("row").alias("text_id"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "anchor",
+                      F.col("begin").alias("first"), "last", "chunk", "chunks",
+                      F.expr(f"substring(text, begin + 1, last - begin + {length})").alias("span"))
               .withColumnRenamed("text_id", "text"))
     # rows repeated with the same id and text bring the same piece again: one stays
     pieces = pieces.repartition("anchor", "chunk").dropDuplicates(["anchor", "chunk", "text", "first"])
@@ -315,12 +315,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     across = across.select("text", "start", "end")
 
     gone = (whole.union(local).union(across).groupBy("text")
-            .agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-            .join(texts.select("key", "first"), F.col("text") == F.col("first.row")).select("key", "first", "spans"))
-    cutting = _slices(cut(gone, "ranges"), source).where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
-    done = cut(cutting.select("key", "text", "spans").mapInArrow(
-        _cut_task, "key binary, n_removed long, n_spans long, kept_sha256 string, "
-        "removed array<struct<start:int,end:int>>").dropDuplicates(["key"]), "removed")
+            .agg(F.collect_set(F.struct("start", "end")).alias("spans")).withColumnRenamed("text", "row"))
+    done = cut(source.join(gone, "row").select("row", "text", "spans").mapInArrow(
+        _cut_task, "row long, n_removed long, n_spans long, kept_sha256 string, "
+        "removed array<struct<start:int,end:int>>").dropDuplicates(["row"])
+        .join(texts.select("key", F.col("first.row").alias("row")), "row").drop("row"), "removed")
     out = (rows.select("row", "doc_id", "key", "n_bytes", "sha256")
            .join(done, "key", "left").join(texts.select(F.col("first.row").alias("row"), F.lit(True).alias("is_first")),
                                            "row", "left") if keep_first else
