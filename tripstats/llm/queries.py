@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tripstats.llm import decontaminate, exact_dedup, licenses, mixing, quality, suffix_dedup, warc
+from tripstats.llm import decontaminate, exact_dedup, licenses, mixing, near_dedup, quality, suffix_dedup, warc
 from tripstats.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_entropy_mix(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_bagminhash(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_sha256")
+
+
 def op3_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
 
@@ -40,7 +44,8 @@ def op10_warc(spark, sf_dir):
                     .otherwise(F.col("digest_so_far")).alias("payload_digest"), "record_type", "refers_to"))
 
 
-QUERIES = {"op1_entropy_mix": op1_entropy_mix, "op3_suffix_dedup": op3_suffix_dedup, "op4_exact_dedup": op4_exact_dedup,
+QUERIES = {"op1_entropy_mix": op1_entropy_mix, "op2_bagminhash": op2_bagminhash,
+           "op3_suffix_dedup": op3_suffix_dedup, "op4_exact_dedup": op4_exact_dedup,
            "op6_decontaminate": op6_decontaminate, "op8_license_scan": op8_license_scan, 
            "op9_quality_knn": op9_quality_knn, "op10_warc": op10_warc}
 
