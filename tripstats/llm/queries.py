@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tripstats.llm import decontaminate, exact_dedup, licenses, mixing, near_dedup, quality, suffix_dedup, warc
+from tripstats.llm import ctw, decontaminate, exact_dedup, licenses, mixing, near_dedup, quality, suffix_dedup, warc
 from tripstats.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_ctw(spark, sf_dir):
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop(
         "text_sha256")
@@ -46,7 +50,7 @@ def op10_warc(spark, sf_dir):
 
 QUERIES = {"op1_entropy_mix": op1_entropy_mix, "op2_bagminhash": op2_bagminhash,
            "op3_suffix_dedup": op3_suffix_dedup, "op4_exact_dedup": op4_exact_dedup,
-           "op6_decontaminate": op6_decontaminate, "op8_license_scan": op8_license_scan, 
+           "op5_ctw": op5_ctw, "op6_decontaminate": op6_decontaminate, "op8_license_scan": op8_license_scan, 
            "op9_quality_knn": op9_quality_knn, "op10_warc": op10_warc}
 
 ORACLE = {
