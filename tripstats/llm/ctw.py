@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tripstats.llm.common import UPPER, cut, remainder
 
 #: Bytes of context.
-DEPTH = 4
+DEPTH = 5
 #: Bytes of text in a block (a longer text is a block of its own).
 BLOCK_BYTES = 10 << 20
 #: Blocks answered by a bucket, and the least number of buckets.
@@ -74,6 +74,22 @@ def unpack(blob: bytes) -> list[tuple]:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
+def press(values: np.ndarray, rising: bool = False) -> bytes:
+    """An array as compressed bytes, equal bytes of neighbours side by side; rising values as differences."""
+    v = np.diff(values, prepend=values.dtype.type(0)) if rising else values
+    return zstandard.ZstdCompressor(level=1).compress(
+        v.view(np.uint8).reshape(-1, v.dtype.itemsize).T.tobytes()) if len(v) else b""
+
+
+def expand(data: bytes, kind, rising: bool = False) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    v = np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+    return np.cumsum(v, dtype=kind) if rising else v
+
+
 def grams(text: bytes) -> np.ndarray:
     """``DEPTH`` preceding bytes and the byte, for every byte and the end (0), as numbers."""
     b = np.zeros(len(text) + DEPTH + 1, np.int64)
@@ -141,7 +157,7 @@ def _ask_task(buckets: int):
             for block, blob in zip(batch.column("block"), batch.column("blob")):
                 for kind, (keys, counts) in enumerate(asked(unpack(blob.as_py()))):
                     b = bucket_of(kind, keys, buckets)
-                    out = [(int(i), block.as_py(), kind, keys[m].tobytes(), counts[m].tobytes(), int(counts[m].sum()))
+                    out = [(int(i), block.as_py(), kind, press(keys[m], True), press(counts[m]), int(counts[m].sum()))
                            for i in np.unique(b) for m in [b == i]]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary(),
@@ -194,8 +210,8 @@ def tree(keys: np.ndarray, counts: np.ndarray):
 
 def _merged(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     mine = [i for i, k in enumerate(table.column("kind").to_pylist()) if k == kind]
-    keys = [np.frombuffer(table.column("keys")[i].as_py(), np.int64) for i in mine]
-    counts = [np.frombuffer(table.column("counts")[i].as_py(), np.int64) for i in mine]
+    keys = [expand(table.column("keys")[i].as_py(), np.int64, True) for i in mine]
+    counts = [expand(table.column("counts")[i].as_py(), np.int64) for i in mine]
     empty = [np.zeros(0, np.int64)]
     return summed(np.concatenate(keys or empty), np.concatenate(counts or empty))
 
@@ -249,11 +265,11 @@ def _answer_task(top):
         keys, counts = _merged(table, GRAMS)
         p = log10_p(keys, tree(keys, counts)[0], top).astype(np.float32)
         bucket = table.column("bucket")[0].as_py()
-        out = [(None, bucket, WORDS, int((n > 0).sum()), b"")]
+        out, kinds = [], int((n > 0).sum())                       # distinct training words, told to one block
         for block, kind, k in zip(*(table.column(c).to_pylist() for c in ("block", "kind", "keys"))):
-            k = np.frombuffer(k, np.int64)
+            k = expand(k, np.int64, True)
             got = n[np.searchsorted(words, k)] if kind == WORDS else p[np.searchsorted(keys, k)]
-            out.append((block, bucket, kind, 0, got.tobytes()))
+            out.append((block, bucket, kind, 0 if out else kinds, press(got)))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int64(),
                                                                     pa.binary()))],
                         names=["block", "bucket", "kind", "v", "answer"])
@@ -262,7 +278,7 @@ def _answer_task(top):
 
 def _score_task(buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        out: list[tuple] = [(None, None, None, sum(right.column("v").to_pylist()), None, None, None)]
         for blob in left.column("blob").to_pylist():
             rows = unpack(blob)
             answers = {(k, b): a for k, b, a in zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "answer")))}
@@ -270,7 +286,7 @@ def _score_task(buckets: int):
             for kind, (keys, _) in enumerate(asked(rows)):
                 b, v = bucket_of(kind, keys, buckets), np.zeros(len(keys))
                 for i in np.unique(b):
-                    v[b == i] = np.frombuffer(answers[kind, int(i)], np.int64 if kind == WORDS else np.float32)
+                    v[b == i] = expand(answers[kind, int(i)], np.int64 if kind == WORDS else np.float32)
                 value.append((keys, v))
             (words, count), (codes, p) = value
             logs = np.log10(count + 0.1)
@@ -317,12 +333,13 @@ def score(docs: DataFrame) -> DataFrame:
            .groupBy("bucket").applyInArrow(_top_task, "node long, zero double, one double, below double")
            .groupBy("node").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"), F.sum("below").alias("below")))
     levels = top_levels(top.collect())                        # at most 256 x 255 rows
-    answers = cut(asks.drop("n").groupBy("bucket").applyInArrow(
-        _answer_task(levels), "block long, bucket long, kind int, v long, answer binary"), "answers")
-    kinds = answers.where("block is null").agg(F.sum("v")).first()[0] or 0
-    scored = blocks.groupBy("block").cogroup(answers.where("block is not null").groupBy("block")).applyInArrow(
+    answers = asks.drop("n").groupBy("bucket").applyInArrow(
+        _answer_task(levels), "block long, bucket long, kind int, v long, answer binary")
+    scored = cut(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _score_task(buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, "
-        "n_bytes long")
+        "n_bytes long"), "scores")
+    kinds = scored.where("n_tokens is null").agg(F.sum("n_known")).first()[0] or 0
+    scored = scored.where("n_tokens is not null")
     smooth = math.log10(total + 0.1 * (kinds + 1))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                          (F.col("logs") - F.col("n_tokens") * F.lit(smooth)).alias("base_score"), "score",
