@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripstats.llm.common import ALNUM_WORD, UPPER, cut, id_key
+from tripstats.llm.common import UPPER, cut, id_key
 from tripstats.llm.components import components
 
 #: Words of a shingle.

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tripstats.llm import ctw, decontaminate, exact_dedup, licenses, mixing, near_dedup, quality, suffix_dedup, warc
+from tripstats.llm import chaining, ctw, decontaminate, exact_dedup, licenses, mixing, near_dedup, quality, suffix_dedup, warc
 from tripstats.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op6_decontaminate(spark, sf_dir):
         "text_sha256")
 
 
+def op7_chaining(spark, sf_dir):
+    return chaining.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark, sf_dir):
     return licenses.label_documents(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,8 @@ def op10_warc(spark, sf_dir):
 
 QUERIES = {"op1_entropy_mix": op1_entropy_mix, "op2_bagminhash": op2_bagminhash,
            "op3_suffix_dedup": op3_suffix_dedup, "op4_exact_dedup": op4_exact_dedup,
-           "op5_ctw": op5_ctw, "op6_decontaminate": op6_decontaminate, "op8_license_scan": op8_license_scan, 
+           "op5_ctw": op5_ctw, "op6_decontaminate": op6_decontaminate, "op7_chaining": op7_chaining,
+           "op8_license_scan": op8_license_scan, 
            "op9_quality_knn": op9_quality_knn, "op10_warc": op10_warc}
 
 ORACLE = {
