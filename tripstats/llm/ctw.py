@@ -125,13 +125,13 @@ def summed(keys: np.ndarray, *values: np.ndarray):
     return (keys[at], *(np.add.reduceat(v[order], at) for v in values))
 
 
-def asked(rows: list[tuple]):
-    """What a block asks for: per kind the sorted distinct keys and their training counts."""
+def asked(rows: list[tuple], count: bool = True):
+    """What a block asks for: per kind the sorted distinct keys and their training counts (0 unless ``count``)."""
     train, every = Counter(), set()
     for _, held, b in rows:
         w = b.split()
         every.update(w)
-        if not held:
+        if count and not held:
             train.update(w)
             train[b""] += 1
     every.add(b"")
@@ -139,7 +139,7 @@ def asked(rows: list[tuple]):
     keys = np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64).view(np.int64)
     words = summed(keys, np.array([train[w] for w in names], np.int64))
     all_grams, _ = distinct(grams(b) for _, _, b in rows)
-    some, n = distinct(grams(b) for _, held, b in rows if not held)
+    some, n = distinct(grams(b) for _, held, b in rows if count and not held)
     counts = np.zeros(len(all_grams), np.int64)
     counts[np.searchsorted(all_grams, some)] = n
     return words, (all_grams, counts)
@@ -283,7 +283,7 @@ def _score_task(buckets: int):
             rows = unpack(blob)
             answers = {(k, b): a for k, b, a in zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "answer")))}
             value = []
-            for kind, (keys, _) in enumerate(asked(rows)):
+            for kind, (keys, _) in enumerate(asked(rows, count=False)):
                 b, v = bucket_of(kind, keys, buckets), np.zeros(len(keys))
                 for i in np.unique(b):
                     v[b == i] = expand(answers[kind, int(i)], np.int64 if kind == WORDS else np.float32)
