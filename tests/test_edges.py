@@ -143,7 +143,7 @@ def test_weekday_order_and_unknown_last(spark):
     assert [r.r for r in ranks] == [7, 1, 3, None]
 
 
-def test_month_weekday_cut_is_total_order(spark):
+def test_month_weekday_is_whole_and_ordered(spark):
     rows = []
     d = dt.date(2025, 1, 1)
     while d < dt.date(2025, 6, 4):
@@ -151,8 +151,8 @@ def test_month_weekday_cut_is_total_order(spark):
         d += dt.timedelta(days=1)
     daily = spark.createDataFrame(rows, "pickup_date date, pickup_days string, total_trip bigint")
     out = R.month_weekday_sum(daily).collect()
-    assert len(out) == 35
-    assert {r.month for r in out} == {1, 2, 3, 4, 5}
+    assert len(out) == 38          # every group, also those of a sixth month
+    assert {r.month for r in out} == {1, 2, 3, 4, 5, 6}
     assert [r.pickup_days for r in out[:7]] == ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday",
                                                 "Saturday", "Sunday"]
     trend = R.daily_trend(daily).collect()

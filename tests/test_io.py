@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, rows
+from tripstats.operators.enrich import enrich_trips
 from tripstats.plans import batch
 from tripstats.plans import catalog as Q
 from tripstats.sinks.writers import write_jdbc, write_month_partitions
@@ -122,6 +123,19 @@ def test_monthly_files_with_schema_drift(spark, tmp_path):
     assert got == [(1, 1.0, "N", None), (2, 2.0, None, 0.5)]
 
 
+def test_a_column_missing_from_one_month_keeps_that_month(spark, tmp_path):
+    folder = str(tmp_path)
+    p1, p2 = month_paths(folder, months=(1, 2))
+    trips = Q.trips(spark, SF_SMALL)
+    trips.filter("src_month = 1").drop("src_month").withColumn("airport_fee", F.lit(0.5)).write.parquet(p1)
+    trips.filter("src_month = 2").drop("src_month").write.parquet(p2)
+    scan = scan_monthly_trips(spark, folder, months=(1, 2), clean=enrich_trips)
+    tables = batch.run(spark, scan, Q.zones(spark, SF_SMALL), f"{folder}/wh", cleaned=True)
+    got = spark.read.parquet(tables["taxi_trips"]).groupBy("src_month").count()
+    want = Q.enriched(spark, SF_SMALL).filter("src_month < 3").groupBy("src_month").count()
+    assert rows(got) == rows(want)
+
+
 def test_incremental_month_reload_equals_full_run(spark, tmp_path):
     trips = Q.trips(spark, SF_SMALL).cache()
     zones = Q.zones(spark, SF_SMALL)

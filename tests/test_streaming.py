@@ -83,8 +83,6 @@ def test_fare_stream_latest_row_wins(spark, tmp_path):
     replay = [r.short_trip_count for r in replay_topic(spark, folder, TOPIC_SCHEMAS["temp_trip_fare"]).collect()
               if r.pickup_hour == 1]
     assert replay == [1, 9]
-    first_two = replay_topic(spark, folder, TOPIC_SCHEMAS["temp_trip_fare"], max_messages=2).count()
-    assert first_two == 2
     assert os.path.isdir(folder)
 
 

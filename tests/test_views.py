@@ -1,42 +1,43 @@
-"""Dashboard SQL text over named views equals the DataFrame reports."""
-import math
-
+"""SQL over named views of the batch tables."""
 from conftest import SF_SMALL
-from tripstats.operators import reports as R
 from tripstats.operators.reshape import union_all
 from tripstats.plans import batch
 from tripstats.plans import catalog as Q
-from tripstats.plans.views import DASHBOARD_SQL, register_views, run_query
-
-
-def _vals(df):
-    out = []
-    for r in df.collect():
-        out.append(tuple(round(v, 6) if isinstance(v, float) and not math.isnan(v) else v for v in r))
-    return out
+from tripstats.plans.views import register_views, run_query
 
 
-def test_dashboard_sql_equals_reports(spark, tmp_path):
+def test_sql_on_stored_tables(spark, tmp_path):
     zones = Q.zones(spark, SF_SMALL)
     tables = batch.run(spark, Q.trips(spark, SF_SMALL), zones, str(tmp_path / "wh"))
     register_views(spark, tables, zones)
-    daily = spark.table("taxi_trip_daily")
-    fare = spark.table("taxi_trip_fare_f")
-    frames = {
-        "weekday_avg": R.weekday_avg(daily),
-        "month_weekday_sum": R.month_weekday_sum(daily),
-        "month_weekday_avg": R.month_weekday_avg(daily),
-        "daily_trend": R.daily_trend(daily),
-        "hourly_fare": R.hourly_fare(fare),
-        "hourly_tip": R.hourly_tip(fare),
-        "short_long_by_hour": R.short_long_by_hour(fare),
-        "duration_distribution": R.duration_distribution_report(spark.table("taxi_duration_interval_f")),
-        "top_routes": R.top_routes(spark.table("pick_drop_zone_f"), zones),
-    }
-    for key, sql in DASHBOARD_SQL.items():
-        got = _vals(run_query(spark, sql))
-        want = _vals(frames[key])
-        assert got == want, key   # same rows in the same order
+    total = run_query(spark, "SELECT sum(total_trip) AS n FROM taxi_trip_daily").first().n
+    assert total == Q.daily(spark, SF_SMALL).groupBy().sum("total_trip").first()[0]
+    top = run_query(spark, "SELECT max(trip_count) AS n FROM pick_drop_zone_f").first().n
+    assert top == Q.queries()["top_routes"](spark, SF_SMALL).first().trip_count
+
+
+def test_a_full_run_leaves_no_stale_month(spark, tmp_path):
+    trips, zones, wh = Q.trips(spark, SF_SMALL), Q.zones(spark, SF_SMALL), str(tmp_path / "wh")
+    batch.run(spark, trips.filter("src_month < 3"), zones, wh)
+    tables = batch.run(spark, trips.filter("src_month = 1"), zones, wh)
+    for name in ("taxi_trips", "temp_table"):
+        assert [r[0] for r in spark.read.parquet(tables[name]).select("src_month").distinct().collect()] == [1]
+
+
+def test_month_weekday_reports_are_whole(spark):
+    daily = Q.daily(spark, SF_SMALL)
+    got = Q.queries()["month_weekday_sum"](spark, SF_SMALL)
+    assert got.groupBy().sum("total_trip_per_days").first()[0] == daily.groupBy().sum("total_trip").first()[0]
+
+
+def test_child_sessions_keep_settings(spark):
+    from tripstats.session import child_session
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        child = child_session(spark, {"spark.sql.codegen.hugeMethodLimit": "8000"})
+        assert child.conf.get("spark.sql.shuffle.partitions") == "13"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
 def test_union_all_by_name(spark):

@@ -54,11 +54,12 @@ def main(argv: list[str] | None = None) -> int:
                                     a.warehouse, months).items():
             print(f"{name}\t{path}")
     else:
+        from tripstats.operators.enrich import enrich_trips
         from tripstats.plans import batch
         from tripstats.sources.files import read_zone_csv, scan_monthly_trips
-        trips = (scan_monthly_trips(spark, a.trip_folder, months=months) if months
-                 else scan_monthly_trips(spark, a.trip_folder))
-        tables = batch.run(spark, trips, read_zone_csv(spark, a.zone_csv), a.warehouse, months)
+        trips = (scan_monthly_trips(spark, a.trip_folder, months=months, clean=enrich_trips) if months
+                 else scan_monthly_trips(spark, a.trip_folder, clean=enrich_trips))
+        tables = batch.run(spark, trips, read_zone_csv(spark, a.zone_csv), a.warehouse, months, cleaned=True)
         for name, path in tables.items():
             print(f"{name}\t{path}")
     spark.stop()

@@ -11,7 +11,6 @@ TOP_N_ROUTES = 10
 REPORT_YEAR = 2025
 REPORT_MONTHS = (1, 2, 3, 4, 5)
 LAST_REPORT_MONTH = 6       # daily trend keeps month(pickup_date) < 6
-MONTH_WEEKDAY_ROWS = 35     # 5 months x 7 weekdays shown by the month/weekday charts
 MONTH_LABEL_PREFIX = "Month "
 TOPIC_PREFIX = "etl.public."
 

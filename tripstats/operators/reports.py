@@ -22,21 +22,18 @@ def weekday_avg(daily: DataFrame) -> DataFrame:
             .orderBy(weekday_rank("pickup_days").asc_nulls_last(), "pickup_days"))
 
 
-def _month_weekday(daily: DataFrame, measure, alias: str, rows: int | None) -> DataFrame:
-    out = (daily.groupBy(F.month("pickup_date").alias("month"), "pickup_days")
+def _month_weekday(daily: DataFrame, measure, alias: str) -> DataFrame:
+    return (daily.groupBy(F.month("pickup_date").alias("month"), "pickup_days")
            .agg(measure.alias(alias))
            .orderBy("month", weekday_rank("pickup_days").asc_nulls_last(), "pickup_days"))
-    # The charts show the first ``rows`` rows (5 months x 7 days); the order
-    # above is total, so the cut is deterministic.
-    return out.limit(rows) if rows else out
 
 
-def month_weekday_sum(daily: DataFrame, rows: int | None = C.MONTH_WEEKDAY_ROWS) -> DataFrame:
-    return _month_weekday(daily, F.sum("total_trip").cast("bigint"), "total_trip_per_days", rows)
+def month_weekday_sum(daily: DataFrame) -> DataFrame:
+    return _month_weekday(daily, F.sum("total_trip").cast("bigint"), "total_trip_per_days")
 
 
-def month_weekday_avg(daily: DataFrame, rows: int | None = C.MONTH_WEEKDAY_ROWS) -> DataFrame:
-    return _month_weekday(daily, presented(F.avg("total_trip")), "avg_trip_per_days", rows)
+def month_weekday_avg(daily: DataFrame) -> DataFrame:
+    return _month_weekday(daily, presented(F.avg("total_trip")), "avg_trip_per_days")
 
 
 def daily_trend(daily: DataFrame, before_month: int = C.LAST_REPORT_MONTH) -> DataFrame:

@@ -6,8 +6,8 @@
    four upstream rollups, per month where the reference appends per month.
 3. Build the view tables from the rollups.
 
-Every write replaces its table or its month partitions, so a rerun gives
-the same tables.  All paths are below ``warehouse`` (a shared folder).
+A full run replaces every table, a run of given months their partitions, so
+a rerun gives the same tables and leaves no stale month behind.  All paths are below ``warehouse`` (a shared folder).
 """
 from __future__ import annotations
 
@@ -26,9 +26,10 @@ VIEWS = ("mv_taxi_date_hour_daily", "mv_taxi_date_hourly", "mv_taxi_duration_tri
          "mv_pick_drop_zone", "mv_trip_fare", "pick_drop_zone_means")
 
 
-def write_trip_tables(trips: DataFrame, warehouse: str) -> str:
+def write_trip_tables(trips: DataFrame, warehouse: str, whole: bool = True, cleaned: bool = False) -> str:
     path = f"{warehouse}/taxi_trips"
-    write_month_partitions(enrich_trips(trips), path, sort_by=("pickup_date", "pickup_hour"))
+    write_month_partitions(trips if cleaned else enrich_trips(trips), path, sort_by=("pickup_date", "pickup_hour"),
+                           whole=whole)
     return path
 
 
@@ -40,9 +41,11 @@ def write_upstream(spark: SparkSession, trips_path: str, zones: DataFrame, wareh
     enriched = spark.read.parquet(trips_path)
     changed = enriched if months is None else enriched.filter(F.col("src_month").isin(*months))
     paths = {t: f"{warehouse}/{t}" for t in UPSTREAM}
-    write_month_partitions(A.month_partials(changed), paths["temp_table"])
-    write_month_partitions(A.duration_histogram(changed), paths["temp_duration_interval"])
-    write_month_partitions(A.route_monthly(changed, zones), paths["temp_pick_drop_zone"])
+    write_month_partitions(A.month_partials(changed), paths["temp_table"], whole=months is None)
+    write_month_partitions(A.duration_histogram(changed), paths["temp_duration_interval"],
+                           whole=months is None)
+    write_month_partitions(A.route_monthly(changed, zones), paths["temp_pick_drop_zone"],
+                           whole=months is None)
     write_sorted(A.hourly_profile(enriched), paths["temp_trip_fare"], ["pickup_hour"])
     return paths
 
@@ -65,9 +68,12 @@ def write_views(spark: SparkSession, upstream: dict[str, str], warehouse: str) -
 
 
 def run(spark: SparkSession, trips: DataFrame, zones: DataFrame, warehouse: str,
-        months: Iterable[int] | None = None) -> dict[str, str]:
+        months: Iterable[int] | None = None, cleaned: bool = False) -> dict[str, str]:
     """The whole batch job; returns table name -> path.
 
+    ``cleaned``: ``trips`` are enriched already, file by file (see
+    ``scan_monthly_trips(clean=enrich_trips)``).
+
     ``months`` makes it incremental: only those month files are cleaned and
     written (``trips`` is cut to them; pass a scan of just those files to
     read nothing else), only their partitions of the per-month rollups are
@@ -77,7 +83,7 @@ def run(spark: SparkSession, trips: DataFrame, zones: DataFrame, warehouse: str,
     if months is not None:
         months = sorted(set(months))
         trips = trips.filter(F.col("src_month").isin(*months))
-    trips_path = write_trip_tables(trips, warehouse)
+    trips_path = write_trip_tables(trips, warehouse, months is None, cleaned)
     upstream = write_upstream(spark, trips_path, zones, warehouse, months)
     views = write_views(spark, upstream, warehouse)
     return {"taxi_trips": trips_path, **upstream, **views}

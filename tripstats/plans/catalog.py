@@ -109,10 +109,9 @@ def _present(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def q_union_months(spark, sf_dir):
-    # The five monthly tables are one month-partitioned table here; their
-    # UNION ALL is a single scan of months 1..5 with the four columns.
+    # The monthly tables are one month-partitioned table here; their UNION
+    # ALL is a single scan of all its months with the four columns.
     return (enriched(spark, sf_dir)
-            .filter(F.col("src_month").isin(*C.REPORT_MONTHS))
             .select("src_month", "pickup_hour", "total_amount_excluding_tips", "trip_distance_km",
                     "tip_amount"))
 

@@ -198,12 +198,12 @@ QUERIES = {
         SELECT CAST(month(pickup_date) AS INTEGER) AS month, pickup_days,
                CAST(sum(total_trip) AS BIGINT) AS total_trip_per_days
         FROM daily GROUP BY month(pickup_date), pickup_days
-        ORDER BY month, {WEEKDAY_RANK} NULLS LAST, pickup_days LIMIT 35""",
+        ORDER BY month, {WEEKDAY_RANK} NULLS LAST, pickup_days""",
     "month_weekday_avg": f"""
         SELECT CAST(month(pickup_date) AS INTEGER) AS month, pickup_days,
                {r6('avg(total_trip)')} AS avg_trip_per_days
         FROM daily GROUP BY month(pickup_date), pickup_days
-        ORDER BY month, {WEEKDAY_RANK} NULLS LAST, pickup_days LIMIT 35""",
+        ORDER BY month, {WEEKDAY_RANK} NULLS LAST, pickup_days""",
     "daily_trend": """
         SELECT pickup_date, total_trip, 'Month ' || CAST(month(pickup_date) AS VARCHAR) AS month
         FROM daily WHERE month(pickup_date) < 6 ORDER BY pickup_date""",

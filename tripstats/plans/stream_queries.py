@@ -71,9 +71,10 @@ def write_upstream(spark: SparkSession, sf_dir: str, topic: str, root: str) -> D
     return spark.read.parquet(table_path)
 
 
-def topic_months(topic: str) -> tuple[int, ...]:
-    # The fare table is one table over all months (published once).
-    return (0,) if topic == "temp_trip_fare" else C.REPORT_MONTHS
+def topic_months(stored: DataFrame) -> list[int]:
+    """The months the upstream table holds (a calendar's worth of rows; the
+    fare table is one table over all months, stored as month 0)."""
+    return sorted(r[0] for r in stored.select("src_month").distinct().collect())
 
 
 def publish_month(stored: DataFrame, topic: str, month: int, folder: str) -> None:
@@ -85,7 +86,7 @@ def feed_topic(spark: SparkSession, sf_dir: str, topic: str, root: str) -> str:
     """Publish the upstream table to a folder topic one month file at a time."""
     stored = write_upstream(spark, sf_dir, topic, root)
     folder = f"{root}/topic-{topic}"
-    for m in topic_months(topic):
+    for m in topic_months(stored):
         publish_month(stored, topic, m, folder)
     return folder
 

@@ -54,12 +54,12 @@ def parallelism(spark: SparkSession, default: int = 8) -> int:
 
 
 def child_session(spark: SparkSession, conf: dict[str, str]) -> SparkSession:
-    """A session sharing ``spark``'s cluster with its own SQL settings; when
-    a new session cannot be made, ``spark`` itself, unchanged."""
-    try:
-        child = spark.newSession()
-    except Exception:
-        return spark
+    """A session sharing ``spark``'s cluster with its own SQL settings, whose
+    other settings start as copies of the caller's."""
+    child = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if k.startswith("spark.sql.") and spark.conf.isModifiable(k):
+            child.conf.set(k, v)
     for k, v in conf.items():
         child.conf.set(k, v)
     return child
@@ -75,6 +75,8 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and sc is not None:
         root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root and sc is not None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="tripstats-ckpt-")
         if sc is not None:

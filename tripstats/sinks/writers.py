@@ -7,17 +7,17 @@ from pyspark.sql import DataFrame
 
 
 def write_month_partitions(df: DataFrame, path: str, month_col: str = "src_month",
-                           sort_by: Sequence[str] = ()) -> None:
-    """Write ``df`` partitioned by month file, replacing only the months present.
+                           sort_by: Sequence[str] = (), whole: bool = False) -> None:
+    """Write ``df`` partitioned by month file.
 
-    Dynamic partition overwrite makes a rerun of a month replace that month
-    instead of appending a second copy (the per-month appends of the
-    reference double-count on rerun).
+    With ``whole`` the table is replaced, so months that ``df`` lacks are
+    gone afterwards (a full load); otherwise only the months present are
+    replaced, and a rerun of a month does not append a second copy.
     """
     # The partitioned writer needs rows grouped by month; leading with the
     # month column keeps ``sort_by`` order inside each file (min/max pruning).
     out = df.sortWithinPartitions(month_col, *sort_by) if sort_by else df
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "static" if whole else "dynamic")
      .partitionBy(month_col).parquet(path))
 
 

@@ -1,7 +1,7 @@
 """File sources: monthly trip files and the zone CSV."""
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +19,8 @@ def month_paths(folder: str, year: int = C.REPORT_YEAR,
 
 def scan_monthly_trips(spark: SparkSession, folder: str, year: int = C.REPORT_YEAR,
                        months: Iterable[int] = C.REPORT_MONTHS,
-                       template: str = MONTH_FILE_TEMPLATE) -> DataFrame:
+                       template: str = MONTH_FILE_TEMPLATE,
+                       clean: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All monthly files as ONE plan: a union of per-month scans, each tagged
     with its month file as a literal ``src_month``.
 
@@ -27,11 +28,14 @@ def scan_monthly_trips(spark: SparkSession, folder: str, year: int = C.REPORT_YE
     (no driver loop of per-month jobs); column pruning and filter pushdown
     reach each scan; the month costs nothing per row (no parsing of file
     paths); and files whose schemas drift between months (a column added or
-    missing) union by name, with NULL for a missing column.
+    missing) union by name, with NULL for a missing column.  ``clean`` is
+    applied to each file before the union, so that a rule on NULLs sees the
+    file's own columns and not those it lacks.
     """
     months = list(months)
     frames = [spark.read.parquet(path).withColumn("src_month", F.lit(m).cast("int"))
               for m, path in zip(months, month_paths(folder, year, months, template))]
+    frames = [clean(f) for f in frames] if clean else frames
     return union_all(frames, allow_missing=True)
 
 

@@ -174,13 +174,8 @@ def kafka_record_stream(spark: SparkSession, bootstrap_servers: str, topic: str,
                     F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value")))
 
 
-def replay_topic(spark: SparkSession, folder: str, schema: T.StructType,
-                 max_messages: int | None = None) -> DataFrame:
-    """A topic read from the earliest record, decoded, in publish order;
-    ``max_messages`` keeps only the first n (the smoke-test consumer)."""
+def replay_topic(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """A whole topic read from the earliest record, decoded, in publish order."""
     rows = decode_change_feed(folder_records(spark, folder), schema,
                               keep=("timestamp", "partition", "offset"))
-    rows = rows.orderBy("timestamp", "partition", "offset")
-    if max_messages is not None:
-        rows = rows.limit(max_messages)
-    return rows.drop("timestamp", "partition", "offset")
+    return rows.orderBy("timestamp", "partition", "offset").drop("timestamp", "partition", "offset")
