@@ -11,11 +11,13 @@ once it passes the largest value still in the signature, so a text costs
 about ``n + m log m`` points and not ``n m``.
 
 Bands of the signature are buckets.  In a bucket all members are compared
-with one centre, on their whole multisets, and what agrees is linked.  A
-bucket whose members end up in several components goes on with more centres,
-until the members that never were a centre lie in one component; so every
-bucket is settled exactly, without all pairs of a group being formed and
-without a cap.
+with one centre, on their whole multisets, and what agrees is linked.  Where
+the other members of a bucket still lie in several components, those outside
+its largest component meet the rest in blocks of bounded size, by counts of
+hashed shingles: the sum of the smaller counts bounds the overlap from above,
+so only pairs that can reach the similarity leave a block.  These are verified
+on whole multisets, one per text and component first, then what is still
+apart.  Every bucket is settled exactly, without a cap.
 """
 from __future__ import annotations
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripstats.llm.common import UPPER, cut, id_key
+from tripstats.llm.common import UPPER, cut, id_key, small
 from tripstats.llm.components import components
 
 #: Words of a shingle.
@@ -37,6 +39,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Bands and rows of a band; a pair at similarity 0.8 shares a band with probability 0.99995.
 BANDS, ROWS = 25, 5
+#: Cells of the hashed counts that bound an overlap.
+CELLS = 256
+#: Members of a bucket that meet as many others in one block.
+CHUNK = 256
 #: Points drawn together: a block of documents with about so many shingles.
 BLOCK = 60_000
 FOLD = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -50,9 +56,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_seen: dict[bytes, int] = {}
+
+
+def _word_hash(word: bytes) -> int:
+    if len(_seen) > 1 << 18:                            # a memo only: bounded, may be emptied at any time
+        _seen.clear()
+    h = _seen[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return h
+
+
 def word_hashes(text: bytes) -> np.ndarray:
-    return np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-                     for w in WORD.findall(text.translate(FOLD))], np.uint64)
+    known = _seen.get
+    return np.array([known(w) or _word_hash(w) for w in WORD.findall(text.translate(FOLD))], np.uint64)
 
 
 def multiset(text: bytes, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -129,6 +145,12 @@ def _sign_task(shingle: int):
     return run
 
 
+def cells_of(items: np.ndarray, counts: np.ndarray) -> bytes:
+    """Counts of the shingles per hashed cell: one byte each, or four where one does not do."""
+    n = np.bincount((items >> np.uint64(32)).astype(np.int64) % CELLS, counts, CELLS).astype(np.int64)
+    return np.minimum(n, 2 ** 32 - 1).astype(np.uint8 if n.max() < 256 else np.uint32).tobytes()
+
+
 def _set_task(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +158,61 @@ def _set_task(shingle: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.array([h.tobytes() for h, _ in sets], pa.binary()),
                  pa.array([np.minimum(c, 2 ** 31 - 1).astype(np.int32).tobytes() if (c > 1).any() else b""
-                           for _, c in sets], pa.binary())], ["key", "items", "counts"])
+                           for _, c in sets], pa.binary()),
+                 pa.array([int(c.sum()) for _, c in sets], pa.int64()),
+                 pa.array([cells_of(*s) for s in sets], pa.binary())], ["key", "items", "counts", "size", "cells"])
+    return run
+
+
+def bounds(cells: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Upper bounds of the similarity of one multiset with others."""
+    both = np.minimum(cells, others).sum(axis=1, dtype=np.int64)
+    return both / np.maximum(size + sizes - both, 1)
+
+
+def _cells(column) -> np.ndarray:
+    rows = [c.as_py() for c in column]
+    wide = any(len(r) > CELLS for r in rows)
+    if not wide:
+        return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), CELLS)
+    return np.stack([np.frombuffer(r, np.uint32 if len(r) > CELLS else np.uint8).astype(np.uint32) for r in rows])
+
+
+def _bound_task(similarity: float):
+    """Pairs whose cells allow the similarity."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"])
+            if batch.num_rows:
+                x, y = _cells(batch.column("cells_a")), _cells(batch.column("cells_b"))
+                both = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+                every = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy() - both
+                out = out.filter(pa.array(both / np.maximum(every, 1) >= similarity))
+            yield out
+    return run
+
+
+def _block_task(similarity: float):
+    """Pairs of different components in one block whose cells allow the similarity."""
+    def run(block: pa.Table) -> pa.Table:
+        first = block.column("first").to_numpy(zero_copy_only=False)
+        key = block.column("key").to_pylist()
+        root = np.unique(np.array([r.hex() for r in block.column("root").to_pylist()]), return_inverse=True)[1]
+        cells, size = _cells(block.column("cells").combine_chunks()), block.column("size").to_numpy()
+        # a block of two chunks pairs the first with the second, a block of one pairs all its members
+        left = np.flatnonzero(first) if not first.all() else np.arange(len(first))
+        a, b, most = [], [], []
+        for i in left:
+            j = np.flatnonzero(~first) if not first.all() else np.arange(i + 1, len(first))
+            j = j[(root[j] != root[i]) & (np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]))]
+            up = bounds(cells[i], size[i], cells[j], size[j])
+            for k, u in zip(j[up >= similarity], up[up >= similarity]):
+                lo, hi = sorted((i, k), key=lambda r: key[r])
+                a.append(key[lo])
+                b.append(key[hi])
+                most.append(float(u))
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(most, pa.float64())],
+                        ["a", "b", "most"])
     return run
 
 
@@ -153,13 +229,48 @@ def overlap(a: tuple[bytes, bytes], b: tuple[bytes, bytes]) -> float:
 def _verify_task(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(c) for c in ("items", "counts", "items_b", "counts_b")]
+            cols = [batch.column(c) for c in ("items_a", "counts_a", "items_b", "counts_b")]
             ok = [overlap((x.as_py(), p.as_py()), (y.as_py(), q.as_py())) >= similarity for x, p, y, q in zip(*cols)]
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"])
             yield out.filter(pa.array(ok, pa.bool_()))
     return run
 
 
+def apart(labelled: DataFrame, full: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs ``(a, b, most)`` of a bucket that lie in different components and may be similar.
+
+    ``labelled`` is ``(bucket, key, root)``; the centres of ``full`` have met
+    their buckets.  Members outside the largest component of a bucket meet
+    each other and its members, chunk by chunk.
+    """
+    met = full.select("bucket", F.col("centre.key").alias("key"))
+    open_ = cut(labelled.join(met, ["bucket", "key"], "left_anti"), "open")
+    parts = open_.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    mixed = (parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"),
+                                         F.count("*").alias("parts"))
+             .where("parts > 1").select(
+        "bucket", F.col("main.root").alias("main_root"),
+        F.ceil(F.col("main.n") / CHUNK).cast("int").alias("mains"),
+        F.ceil((F.col("n") - F.col("main.n")) / CHUNK).cast("int").alias("others")))
+    spot = F.xxhash64("key")
+    rows = open_.join(mixed, "bucket").withColumn("is_main", F.col("root") == F.col("main_root"))
+    rows = rows.withColumn("chunk", F.pmod(spot, F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))))
+    to = lambda n: F.sequence(F.lit(0), n - 1)          # noqa: E731
+    chunk = F.col("chunk").cast("int")
+    block = lambda x, y, kind, first: F.struct(          # noqa: E731
+        x.alias("x"), y.alias("y"), F.lit(kind).alias("kind"), first.alias("first"))
+    with_main = F.transform(to(F.col("mains")), lambda j: block(chunk, j, "main", F.lit(True)))
+    with_rest = F.transform(to(F.col("others")), lambda j: block(
+        F.least(chunk, j), F.greatest(chunk, j), "rest", chunk <= j))
+    as_main = F.transform(to(F.col("others")), lambda i: block(i, chunk, "main", F.lit(False)))
+    placed = rows.select("bucket", "key", "root", F.inline(
+        F.when(F.col("is_main"), as_main).otherwise(F.concat(with_main, with_rest))))
+    found = (placed.join(sets.select("key", "size", "cells"), "key")
+             .groupBy("bucket", "kind", "x", "y").applyInArrow(
+                 _block_task(similarity), "a binary, b binary, most double"))
+    return found.groupBy("a", "b").agg(F.max("most").alias("most"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """The near-duplicate class of every document.
 
@@ -190,41 +301,52 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     full = cut(full.where("n > 1"), "buckets")
     members = cut(banded.join(full.select("bucket"), "bucket"), "members")
 
-    wanted = members.select("key").distinct().join(nodes.select("key", "first"), "key").select(
-        "key", id_key(F.col("first.doc_id")).alias("id"), F.col("first.sha").alias("sha"))
-    sets = cut(docs.select(id_key(F.col("doc_id")).alias("id"), sha.alias("sha"), "text").join(wanted, ["id", "sha"])
-               .select("key", "text").mapInArrow(_set_task(shingle), "key binary, items binary, counts binary")
+    wanted = cut(members.select("key").distinct().join(nodes.select("key", "first"), "key").select(
+        "key", id_key(F.col("first.doc_id")).alias("id"), F.unhex("first.sha").alias("sha")), "wanted")
+    ask = wanted.agg(F.count("*").alias("n"), F.max(F.length("id")).alias("b")).first()
+    sets = cut(docs.select(id_key(F.col("doc_id")).alias("id"), F.unhex(sha).alias("sha"), "text")
+               .join(small(wanted, ask["n"], (ask["b"] or 0) + 96), ["id", "sha"])
+               .select("key", "text").mapInArrow(
+                   _set_task(shingle), "key binary, items binary, counts binary, size long, cells binary")
                .dropDuplicates(["key"]), "multisets")
 
+    def both(pairs: DataFrame, columns: list[str]) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(sets.select(F.col("key").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]),
+                               side)
+        return pairs
+
     def links_of(pairs: DataFrame) -> DataFrame:
-        other = sets.select(F.col("key").alias("b"), F.col("items").alias("items_b"), F.col("counts").alias("counts_b"))
-        return pairs.join(sets.withColumnRenamed("key", "a"), "a").join(other, "b").mapInArrow(
+        return both(pairs.select("a", "b"), ["items", "counts"]).mapInArrow(
             _verify_task(similarity), "a binary, b binary")
 
-    def pairs_of(with_centres: DataFrame) -> DataFrame:
-        """Members with another node as centre; sizes that rule the similarity out are dropped."""
-        near = F.least("size", "centre.size") >= similarity * F.greatest("size", "centre.size")
-        return with_centres.where((F.col("key") != F.col("centre.key")) & near).select(
-            F.col("key").alias("a"), F.col("centre.key").alias("b")).distinct()
-
-    links = cut(links_of(pairs_of(members.join(full, "bucket"))), "near-links")
-    used = full.select("bucket", F.col("centre.key").alias("key"))
-    spread = 2
-    while True:
+    def label(keys: DataFrame, links: DataFrame) -> DataFrame:
         roots = components(links).select(F.col("node").alias("key"), "root")
-        labelled = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        open_ = cut(labelled.join(used, ["bucket", "key"], "left_anti"), "open")
-        # settled: what never was a centre lies in one component
-        mixed = open_.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
-        centres = cut(open_.join(mixed.select("bucket"), "bucket")
-                      .groupBy("bucket", F.pmod(F.xxhash64("root"), F.lit(spread)).alias("part"))
-                      .agg(F.min(F.struct("key", "size", "root")).alias("centre")).drop("part"), "centres")
-        if not centres.limit(1).count():
-            break
-        tests = labelled.join(centres, "bucket").where(F.col("root") != F.col("centre.root"))
-        links = cut(links.union(links_of(pairs_of(tests))), "near-links")
-        used = cut(used.union(centres.select("bucket", F.col("centre.key").alias("key"))), "used")
-        spread *= 2
+        return keys.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+    near = F.least("size", "centre.size") >= similarity * F.greatest("size", "centre.size")
+    star = members.join(full, "bucket").where((F.col("key") != F.col("centre.key")) & near).select(
+        F.col("key").alias("a"), F.col("centre.key").alias("b")).distinct()
+    star = cut(both(star, ["cells", "size"]).mapInArrow(_bound_task(similarity), "a binary, b binary"), "star")
+    links = cut(links_of(star), "near-links")
+
+    pairs = cut(apart(label(members.select("bucket", "key"), links), full, sets, similarity), "near-pairs")
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    named = cut(label(ends, links), "near-roots")
+    # the likeliest pair of a text and a component first; of the others only what is still apart
+    likely = F.max_by(F.struct("a", "b"), F.struct("most", "a", "b"))
+    met = (pairs.join(named.withColumnsRenamed({"key": "a", "root": "root_a"}), "a")
+           .join(named.withColumnsRenamed({"key": "b", "root": "root_b"}), "b"))
+    best = (met.groupBy("a", "root_b").agg(likely.alias("p")).select("p.a", "p.b")
+            .union(met.groupBy("b", "root_a").agg(likely.alias("p")).select("p.a", "p.b")).distinct())
+    best = cut(best, "near-best")
+    links = cut(links.union(links_of(best)), "near-links")
+    named = cut(label(ends, links), "near-roots")
+    rest = (pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
+            .join(named.withColumnsRenamed({"key": "a", "root": "root_a"}), "a")
+            .join(named.withColumnsRenamed({"key": "b", "root": "root_b"}), "b").where("root_a != root_b"))
+    links = cut(links.union(links_of(rest)), "near-links")
+    roots = components(links).select(F.col("node").alias("key"), "root")
 
     named = nodes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = named.groupBy("root").agg(F.min("first").alias("head"), F.sum("n").alias("class_size"))
