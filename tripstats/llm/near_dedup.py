@@ -44,7 +44,7 @@ CELLS = 256
 #: Members of a bucket that meet as many others in one block.
 CHUNK = 256
 #: Points drawn together: a block of documents with about so many shingles.
-BLOCK = 60_000
+BLOCK = 200_000
 FOLD = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -92,7 +92,7 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int = BANDS * ROWS)
         return np.zeros((len(sets), m), np.uint64)
     item = np.concatenate([h for h, _ in sets])
     count = np.concatenate([c for _, c in sets]).astype(np.int64)
-    level = 0
+    level, limit = 0, np.empty(len(sets))
     while len(item):                                    # the piece of weights [low, low + width)
         low, width = (0, 1) if level == 0 else (1 << (level - 1), 1 << (level - 1))
         go = np.flatnonzero(count > low)
@@ -109,7 +109,9 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int = BANDS * ROWS)
             weight = low + ((r >> np.uint64(40)).astype(np.int64) * width >> 24)
             ok = weight < ct                            # points above the text's own weight are not its own
             np.minimum.at(flat, cell[ok], x[ok])
-            alive = x < best.max(axis=1)[own]
+            open_sets = own[np.r_[True, own[1:] != own[:-1]]]       # ``own`` is sorted
+            limit[open_sets] = best[open_sets].max(axis=1)
+            alive = x < limit[own]
             it, ct, own, x, t = it[alive], ct[alive], own[alive], x[alive], t + 1
         level += 1
     return np.where(np.isinf(best), 0.0, best).view(np.uint64)
@@ -320,8 +322,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         return both(pairs.select("a", "b"), ["items", "counts"]).mapInArrow(
             _verify_task(similarity), "a binary, b binary")
 
-    def label(keys: DataFrame, links: DataFrame) -> DataFrame:
-        roots = components(links).select(F.col("node").alias("key"), "root")
+    def label(keys: DataFrame, roots: DataFrame) -> DataFrame:
+        roots = roots.select(F.col("node").alias("key"), "root")
         return keys.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
     near = F.least("size", "centre.size") >= similarity * F.greatest("size", "centre.size")
@@ -330,9 +332,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     star = cut(both(star, ["cells", "size"]).mapInArrow(_bound_task(similarity), "a binary, b binary"), "star")
     links = cut(links_of(star), "near-links")
 
-    pairs = cut(apart(label(members.select("bucket", "key"), links), full, sets, similarity), "near-pairs")
+    roots = components(links)
+    pairs = cut(apart(label(members.select("bucket", "key"), roots), full, sets, similarity), "near-pairs")
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    named = cut(label(ends, links), "near-roots")
+    named = cut(label(ends, roots), "near-roots")
     # the likeliest pair of a text and a component first; of the others only what is still apart
     likely = F.max_by(F.struct("a", "b"), F.struct("most", "a", "b"))
     met = (pairs.join(named.withColumnsRenamed({"key": "a", "root": "root_a"}), "a")
@@ -341,7 +344,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
             .union(met.groupBy("b", "root_a").agg(likely.alias("p")).select("p.a", "p.b")).distinct())
     best = cut(best, "near-best")
     links = cut(links.union(links_of(best)), "near-links")
-    named = cut(label(ends, links), "near-roots")
+    named = cut(label(ends, components(links)), "near-roots")
     rest = (pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
             .join(named.withColumnsRenamed({"key": "a", "root": "root_a"}), "a")
             .join(named.withColumnsRenamed({"key": "b", "root": "root_b"}), "b").where("root_a != root_b"))
