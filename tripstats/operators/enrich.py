@@ -1,58 +1,26 @@
-"""Cleaning and enrichment of raw trips (one step per derived column).
-
-Each step is a ``DataFrame -> DataFrame`` function, chained with
-``DataFrame.transform``; Catalyst collapses the chain into one projection
-and one filter next to the scan.
-"""
+"""Cleaning and enrichment of raw trips: one projection, then one filter."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripstats import config as C
 from tripstats.functions.columns import duration_seconds, miles_to_km, net_of_tip, weekday_name
 
 
-def exclude_tips(df: DataFrame) -> DataFrame:
-    return df.withColumn("total_amount_excluding_tips", net_of_tip("total_amount", "tip_amount"))
-
-
-def add_pickup_date(df: DataFrame) -> DataFrame:
-    return df.withColumn("pickup_date", F.to_date(C.PICKUP_TS))
-
-
-def add_pickup_days(df: DataFrame) -> DataFrame:
-    return df.withColumn("pickup_days", weekday_name(C.PICKUP_TS))
-
-
-def add_pickup_hour(df: DataFrame) -> DataFrame:
-    return df.withColumn("pickup_hour", F.hour(C.PICKUP_TS))
-
-
-def add_pickup_minute(df: DataFrame) -> DataFrame:
-    return df.withColumn("pickup_minute", F.minute(C.PICKUP_TS))
-
-
-def add_distance_km(df: DataFrame) -> DataFrame:
-    return df.withColumn("trip_distance_km", miles_to_km("trip_distance"))
-
-
-def add_duration_sec(df: DataFrame) -> DataFrame:
-    return df.withColumn("trip_duration_sec", duration_seconds(C.PICKUP_TS, C.DROPOFF_TS))
-
-
-def exclude_negative_total(df: DataFrame) -> DataFrame:
-    """Keeps ``total_amount >= 0`` (a NULL amount is dropped too)."""
-    return df.filter(F.col("total_amount") >= 0)
-
-
-def drop_incomplete(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
-    """Drops a row when any column (or any of ``subset``) is NULL or NaN."""
-    return df.na.drop(how="any", subset=subset)
-
+def derived_columns() -> dict[str, Column]:
+    """The columns derived from a raw trip, by name."""
+    pickup = F.col(C.PICKUP_TS)
+    return {
+        "total_amount_excluding_tips": net_of_tip("total_amount", "tip_amount"),
+        "pickup_date": F.to_date(pickup),
+        "pickup_days": weekday_name(C.PICKUP_TS),
+        "pickup_hour": F.hour(pickup),
+        "pickup_minute": F.minute(pickup),
+        "trip_distance_km": miles_to_km("trip_distance"),
+        "trip_duration_sec": duration_seconds(C.PICKUP_TS, C.DROPOFF_TS),
+    }
 
-STEPS = (exclude_tips, add_pickup_date, add_pickup_days, add_pickup_hour, add_pickup_minute,
-         add_distance_km, add_duration_sec, exclude_negative_total, drop_incomplete)
 
 # Derived columns that can be NULL/NaN without a NULL/NaN input column
 # (inf - inf, inf * 0); the others are never NULL when both timestamps are set.
@@ -60,17 +28,15 @@ NAN_PRONE_DERIVED = ("total_amount_excluding_tips", "trip_distance_km")
 
 
 def enrich_trips(trips: DataFrame) -> DataFrame:
-    """The nine cleaning steps in the reference order.
+    """Trips with their derived columns; negative totals and incomplete rows are dropped.
 
-    The final null drop covers every input column plus the derived columns
-    that can turn NaN on their own; this drops exactly the rows a drop over
-    all columns drops, but keeps Catalyst from inlining every derived
-    expression into the filter (which made enrichment ~3x slower).
+    The null drop covers every input column plus the derived columns that can
+    turn NaN on their own; this drops exactly the rows a drop over all columns
+    drops, but keeps Catalyst from inlining every derived expression into the
+    filter (which made enrichment ~3x slower).
     """
-    out = trips
-    for step in STEPS[:-1]:
-        out = out.transform(step)
-    return drop_incomplete(out, list(trips.columns) + list(NAN_PRONE_DERIVED))
+    complete = [*trips.columns, *NAN_PRONE_DERIVED]
+    return trips.withColumns(derived_columns()).where(F.col("total_amount") >= 0).na.drop(how="any", subset=complete)
 
 
 ENRICHED_COLUMNS = ("total_amount_excluding_tips", "pickup_date", "pickup_days", "pickup_hour",

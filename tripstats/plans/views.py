@@ -1,8 +1,7 @@
 """Named views over the written tables, so reports can be asked as SQL text.
 
-The dashboard's eight SQL texts run unchanged in meaning through
-``spark.sql`` against views named like the dashboard's tables; Catalyst
-plans them the same way as the DataFrame reports.
+SQL of the user's own runs through ``spark.sql`` against views of the batch
+tables; Catalyst plans it the same way as the DataFrame reports.
 """
 from __future__ import annotations
 
@@ -16,9 +15,6 @@ VIEW_TABLES = {
     "pick_drop_zone_f": "pick_drop_zone_means",
 }
 
-# The dashboard queries in Spark SQL (weekday order and total orders as in
-# the DataFrame reports).
-
 
 def register_views(spark: SparkSession, tables: dict[str, str], zones: DataFrame) -> None:
     """Temp views over the batch job's tables (``name -> path``) and the zones."""
