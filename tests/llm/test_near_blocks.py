@@ -1,0 +1,57 @@
+"""Near-duplicate classes of a group of edited copies, against all pairs."""
+import random
+
+from tripstats.llm import near_dedup
+
+
+def brute_classes(texts):
+    sets = []
+    for t in texts:
+        items, counts = near_dedup.multiset(t.encode())
+        sets.append((items.tobytes(), counts.astype("int32").tobytes()))
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i in range(len(texts)):
+        for j in range(i):
+            if near_dedup.overlap(sets[i], sets[j]) >= near_dedup.SIMILARITY:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def test_classes_of_edited_copies_equal_all_pairs(spark, monkeypatch):
+    """Copies with few to many edits: some link only through others, some to nothing; blocks of a few members."""
+    monkeypatch.setattr(near_dedup, "CHUNK", 4)
+    rng = random.Random(5)
+    texts = []
+    for g in range(2):
+        base = [f"w{g}x{rng.randrange(300)}" for _ in range(140)]
+        for i in range(45):
+            words = list(base)
+            for p in rng.sample(range(140), rng.randrange(0, 7)):
+                words[p] = f"e{g}x{i}x{p}"
+            texts.append(" ".join(words))
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    by_id = {r.doc_id: r.class_id for r in got.collect()}
+    expected = brute_classes(texts)
+    assert [by_id[i] for i in range(len(texts))] == expected
+    assert 2 < len(set(expected)) < len(texts)
+
+
+def test_cells_bound_the_overlap():
+    """The bound from hashed counts is never below the similarity, wide counts included."""
+    rng = random.Random(3)
+    for words in (20, 400):
+        a = " ".join(f"w{rng.randrange(40)}" for _ in range(words))
+        b = a + " a a a a a a" * rng.randrange(1, 400)
+        x, y = near_dedup.multiset(a.encode()), near_dedup.multiset(b.encode())
+        exact = near_dedup.overlap((x[0].tobytes(), x[1].astype("int32").tobytes()),
+                                   (y[0].tobytes(), y[1].astype("int32").tobytes()))
+        import pyarrow as pa
+        cells = near_dedup._cells(pa.array([near_dedup.cells_of(*x), near_dedup.cells_of(*y)]))
+        up = near_dedup.bounds(cells[0], x[1].sum(), cells[1:], y[1].sum())[0]
+        assert up >= exact
