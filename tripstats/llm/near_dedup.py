@@ -45,8 +45,14 @@ CELLS = 256
 CHUNK = 256
 #: Points drawn together: a block of documents with about so many shingles.
 BLOCK = 200_000
+#: Bytes of texts hashed together.
+TEXT_BLOCK = 1 << 18
+#: Points drawn at once for few open processes.
+DRAW = 1 << 13
 FOLD = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
-WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]")
+#: The lower-cased byte of bytes that make words, 0 for the others.
+LOWER = np.array([FOLD[i] if WORD.match(FOLD[i:i + 1]) else 0 for i in range(256)], np.uint8)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -56,31 +62,58 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_seen: dict[bytes, int] = {}
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one text after the other, and the number of words of each.
 
-
-def _word_hash(word: bytes) -> int:
-    if len(_seen) > 1 << 18:                            # a memo only: bounded, may be emptied at any time
-        _seen.clear()
-    h = _seen[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    A word hashes to the mixed sum of its mixed (place, byte) pairs.
+    """
+    held = LOWER[np.frombuffer(b"\0".join(texts), np.uint8)]
+    edges = np.flatnonzero(np.diff(held != 0, prepend=False, append=False))
+    start, length = edges[::2], edges[1::2] - edges[::2]
+    bound = np.cumsum([0] + [len(t) + 1 for t in texts])
+    words = np.diff(np.searchsorted(start, bound))
+    if not len(start):
+        return np.zeros(0, np.uint64), words
+    held = held[held != 0].astype(np.uint64)
+    first = np.cumsum(length) - length
+    place = np.arange(len(held)) - np.repeat(first, length)
+    return mix64(np.add.reduceat(mix64(held | place.astype(np.uint64) << np.uint64(8)), first)), words
+
+
+def _shingles(words: np.ndarray, k: int) -> np.ndarray:
+    h = np.full(max(len(words) - k + 1, 0), k, np.uint64)
+    for i in range(k):
+        h = mix64(h ^ words[i:i + len(h)])
     return h
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    known = _seen.get
-    return np.array([known(w) or _word_hash(w) for w in WORD.findall(text.translate(FOLD))], np.uint64)
+def multisets(texts: list[bytes], shingle: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per text its sorted shingle hashes and their counts; a text of fewer words is one shingle, one of none is empty."""
+    w, words = word_hashes(texts)
+    every, out = _shingles(w, shingle), []
+    for begin, n in zip((np.cumsum(words) - words).tolist(), words.tolist()):
+        h = np.sort(every[begin:begin + n - shingle + 1] if n >= shingle else
+                    _shingles(w[begin:begin + n], n) if n else w[:0])
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if n else np.zeros(0, np.int64)
+        out.append((h[first], np.diff(first, append=len(h))))
+    return out
 
 
 def multiset(text: bytes, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingle hashes and their counts; a text of fewer words is one shingle, one of none is empty."""
-    w = word_hashes(text)
-    if not len(w):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    k = min(shingle, len(w))
-    h = np.full(len(w) - k + 1, k, np.uint64)
-    for i in range(k):
-        h = mix64(h ^ w[i:len(w) - k + 1 + i])
-    return np.unique(h, return_counts=True)
+    return multisets([text], shingle)[0]
+
+
+def _multisets_of(column, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Multisets of a text column, some texts at a time."""
+    held, n = [], 0
+    for text in column:
+        held.append((text.as_py() or "").encode())
+        n += len(held[-1])
+        if n > TEXT_BLOCK:
+            yield from multisets(held, shingle)
+            held, n = [], 0
+    if held:
+        yield from multisets(held, shingle)
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int = BANDS * ROWS) -> np.ndarray:
@@ -102,17 +135,22 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int = BANDS * ROWS)
         seed = mix64(item ^ np.uint64(level * 0x632BE59BD9B4E019 & (1 << 64) - 1))
         it, ct, own, t, x = seed, count, owner, 0, np.zeros(len(item))
         while len(it):
-            r = mix64(it + np.uint64(t * 0xD1342543DE82EF95 & (1 << 64) - 1))
-            x = x - np.log(((r >> np.uint64(11)).astype(float) + 1) / 2.0 ** 53) / (m * width)
+            k = max(1, min(64, DRAW // len(it)))        # of few open processes several points; those past the limit change nothing
+            draw = np.arange(t, t + k, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+            r = mix64(it[:, None] + draw)
+            step = -np.log(((r >> np.uint64(11)).astype(float) + 1) / 2.0 ** 53) / (m * width)
+            step[:, 0] += x
+            x = np.cumsum(step, axis=1) if k > 1 else step
             r = mix64(r)
-            cell = own * m + (r % np.uint64(m)).astype(np.int64)
+            cell = own[:, None] * m + (r % np.uint64(m)).astype(np.int64)
             weight = low + ((r >> np.uint64(40)).astype(np.int64) * width >> 24)
-            ok = weight < ct                            # points above the text's own weight are not its own
+            ok = weight < ct[:, None]                   # points above the text's own weight are not its own
             np.minimum.at(flat, cell[ok], x[ok])
             open_sets = own[np.r_[True, own[1:] != own[:-1]]]       # ``own`` is sorted
             limit[open_sets] = best[open_sets].max(axis=1)
+            x, t = x[:, -1], t + k
             alive = x < limit[own]
-            it, ct, own, x, t = it[alive], ct[alive], own[alive], x[alive], t + 1
+            it, ct, own, x = it[alive], ct[alive], own[alive], x[alive]
         level += 1
     return np.where(np.isinf(best), 0.0, best).view(np.uint64)
 
@@ -129,8 +167,7 @@ def _sign_task(shingle: int):
                     h = mix64(h ^ sig[:, :, i])
                 bands.extend(h.view(np.int64)[i] if len(s[0]) else np.zeros(0, np.int64) for i, s in enumerate(held))
             n = 0
-            for t in batch.column("text"):
-                s = multiset((t.as_py() or "").encode(), shingle)
+            for s in _multisets_of(batch.column("text"), shingle):
                 keys.append(hashlib.blake2b(s[0].tobytes() + s[1].tobytes(), digest_size=16).digest()
                             if len(s[0]) else None)
                 size.append(int(s[1].sum()))
@@ -156,7 +193,7 @@ def cells_of(items: np.ndarray, counts: np.ndarray) -> bytes:
 def _set_task(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [multiset((t.as_py() or "").encode(), shingle) for t in batch.column("text")]
+            sets = list(_multisets_of(batch.column("text"), shingle))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.array([h.tobytes() for h, _ in sets], pa.binary()),
                  pa.array([np.minimum(c, 2 ** 31 - 1).astype(np.int32).tobytes() if (c > 1).any() else b""
