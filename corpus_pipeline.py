@@ -48,7 +48,7 @@ STAGES = [("quality classifier", quality_classifier), ("exact dedup", exact_dupl
           ("MinHash near-dedup", near_duplicates), ("benchmark decontamination", benchmark_decontamination),
           ("mixing sources", source_mix)]
 
-#: No SQL: the classifier, the signatures and the mix have none; tested against plain Python versions.
+#: No SQL: the classifier, the signatures and the mix have none.
 ORACLE_SQL = None
 
 
