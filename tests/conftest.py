@@ -34,3 +34,17 @@ def duck():
 def rows(df, cols=None):
     cols = cols or df.columns
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
+
+
+def scanned_rows(df):
+    """Rows that the file scans of ``df`` hand on, when it runs."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.collectAsList() if hasattr(df._jdf, "collectAsList") else df.collect()
+    while plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.executedPlan()
+
+    def scans(node):
+        own = [node] if node.nodeName().startswith("Scan") else []
+        kids = node.children()
+        return own + [s for i in range(kids.size()) for s in scans(kids.apply(i))]
+    return sum(s.metrics().apply("numOutputRows").value() for s in scans(plan))

@@ -2,11 +2,13 @@
 import datetime as dt
 import math
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripstats.functions.columns import bucket_label, label_start, weekday_rank
 from tripstats.operators import reports as R
 from tripstats.operators import rollups as A
+from tripstats.operators import states as S
 from tripstats.operators.enrich import enrich_trips
 
 TRIP_SCHEMA = T.StructType([
@@ -89,7 +91,7 @@ def test_hourly_profile_zero_km_and_unpaid(spark):
                trip(miles=1.0, total=11.0, tip=1.0),     # 1.61 km, fare 10
                trip(miles=10.0, total=30.0, tip=5.0),    # 16.09 km: long
                trip(miles=1.0, total=3.0, tip=3.0))      # net fare 0: excluded everywhere
-    p = A.hourly_profile(enrich_trips(df)).collect()
+    p = A.hourly_profile(S.hour_states(enrich_trips(df))).collect()
     assert len(p) == 1
     r = p[0]
     assert r.short_trip_count == 2 and r.long_trip_count == 1
@@ -100,20 +102,19 @@ def test_hourly_profile_zero_km_and_unpaid(spark):
 def test_unknown_zone_kept_with_null_name(spark):
     zones = spark.createDataFrame([("1", "Alpha"), ("2", "Beta")], "LocationID string, Zone string")
     df = frame(spark, trip(do=264), trip(do=264), trip(do=2))
-    rm = A.route_monthly(enrich_trips(df), zones).collect()
+    rm = A.route_monthly(S.route_states(enrich_trips(df)), zones).collect()
     got = {(r.DOLocationID, r.drop_zone): r.total_trip for r in rm}
     assert got == {(264, None): 2, (2, "Beta"): 1}
 
 
 def test_route_rollup_mean_of_means_vs_weighted(spark):
-    zones = spark.createDataFrame([(1, "A"), (2, "B")], "LocationID int, Zone string")
     df = frame(spark,
                trip(month=1, total=12.0, tip=2.0),     # fare 10
                trip(month=2, total=22.0, tip=2.0),     # fare 20
                trip(month=2, total=32.0, tip=2.0))     # fare 30
-    e = enrich_trips(df)
-    rolled = A.route_rollup(A.route_monthly(e, zones)).first()
-    weighted = A.route_weighted(e).first()
+    states = S.route_states(enrich_trips(df))
+    rolled = A.route_rollup(states).first()
+    weighted = A.route_weighted(states).first()
     assert rolled.trip_count == 3 and weighted.trip_count == 3
     assert rolled.avg_fare_amount == 17.5      # (10 + 25) / 2
     assert weighted.avg_fare_amount == 20.0    # (10 + 20 + 30) / 3
@@ -122,7 +123,7 @@ def test_route_rollup_mean_of_means_vs_weighted(spark):
 def test_top_routes_tie_break_and_order(spark):
     zones = spark.createDataFrame([(i, f"Z{i}") for i in range(1, 13)], "LocationID int, Zone string")
     routes = spark.createDataFrame(
-        [(i, i, 5 if i <= 11 else 9, 1.234, 5.678) for i in range(1, 13)],
+        [(i, i, 5 if i <= 11 else 9, 1.23, 5.68) for i in range(1, 13)],
         "PULocationID int, DOLocationID int, trip_count bigint, avg_trip_distance_km double, "
         "avg_fare_amount double")
     out = R.top_routes(routes, zones).collect()
@@ -172,7 +173,7 @@ def test_year_filter_keeps_only_2025(spark):
     df = frame(spark,
                trip(pick="2024-12-31 23:59:59", drop="2025-01-01 00:10:00"),
                trip(pick="2025-01-01 00:00:00", drop="2025-01-01 00:10:00"))
-    out = A.hourly_counts(enrich_trips(df)).collect()
+    out = A.hourly_counts(A.month_partials(enrich_trips(df))).collect()
     assert [(r.pickup_date, r.count_trip) for r in out] == [(dt.date(2025, 1, 1), 1)]
 
 
@@ -184,3 +185,50 @@ def test_short_long_fold(spark):
     assert len(out) == 48
     assert {r.metric for r in out} == {"short_trip_count", "long_trip_count"}
     assert sum(r.value for r in out) == sum(3 * h for h in range(24))
+
+
+def test_a_mean_is_rounded_once_from_exact_sums(spark):
+    """Just below a midpoint: 25,000 trips of 1.00 and 1.01 with the mean 1.0049996.  Rounded at six places
+    first it would be 1.005 and then 1.01."""
+    fares = spark.range(25_000).select(
+        F.lit(1).alias("src_month"), F.lit(1).alias("PULocationID"), F.lit(2).alias("DOLocationID"),
+        F.when(F.col("id") < 12_499, 1.01).otherwise(1.0).alias("total_amount_excluding_tips"),
+        F.when(F.col("id") % 2 == 0, 0.01).otherwise(0.0).alias("trip_distance_km"))
+    states = S.route_states(fares)
+    weighted, rolled = A.route_weighted(states).first(), A.route_rollup(states).first()
+    assert weighted.avg_fare_amount == rolled.avg_fare_amount == 1.0
+    # the midpoint itself, 0.005, is rounded up
+    assert weighted.avg_trip_distance_km == rolled.avg_trip_distance_km == 0.01
+
+
+def test_means_beside_a_midpoint_by_fractions(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+    from fractions import Fraction
+    from tripstats.functions.columns import exact_mean
+    cases = [(s, n) for n in (1, 2, 3, 7, 8, 40, 199_999, 3_000_001) for s in (0, 1, n // 2, n // 2 + 1, n, 3 * n // 2, 10 ** 11 + 1)]
+    got = spark.createDataFrame(cases, "s long, n long").select(
+        "s", "n", exact_mean("s", "n").alias("two"), exact_mean("s", "n", 6).alias("six")).collect()
+    for r in got:
+        for places, value in ((2, r.two), (6, r.six)):
+            scaled = Fraction(r.s, r.n) * 10 ** (places - 2)
+            whole = (2 * scaled.numerator + scaled.denominator) // (2 * scaled.denominator)
+            assert value == float(Decimal(whole).scaleb(-places).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
+
+
+def test_states_of_parts_merge_to_the_state_of_the_whole(spark):
+    from conftest import SF_SMALL
+    from tripstats.plans import catalog as Q
+    e = Q.enriched(spark, SF_SMALL)
+    parts = e.where("pickup_hour < 9"), e.where("pickup_hour >= 9")
+    whole = S.merged(S.route_states(e), S.ROUTE_KEYS, S.ROUTE_SUMS)
+    both = S.merged(S.route_states(parts[0]).unionByName(S.route_states(parts[1])), S.ROUTE_KEYS, S.ROUTE_SUMS)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, both.collect()))
+
+
+def test_year_of_the_file_decides_which_trips_count(spark):
+    df = frame(spark,
+               trip(pick="2025-12-31 23:00:00", drop="2025-12-31 23:10:00"),
+               trip(pick="2026-01-01 00:00:00", drop="2026-01-01 00:10:00"))
+    both = df.withColumn("src_year", F.lit(2025)).unionByName(df.withColumn("src_year", F.lit(2026)))
+    out = A.month_partials(enrich_trips(both)).collect()
+    assert sorted((r.src_year, r.pickup_date.year, r.count_trip) for r in out) == [(2025, 2025, 1), (2026, 2026, 1)]

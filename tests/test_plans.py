@@ -2,6 +2,8 @@
 import io
 from contextlib import redirect_stdout
 
+import pytest
+
 from conftest import SF_SMALL
 import __spark_entry__ as E
 from tripstats.operators.joins import has_at_most, join_dimension
@@ -22,9 +24,10 @@ def test_top_routes_is_take_ordered_then_broadcast_lookups(spark):
 
 def test_fact_join_is_sort_merge_and_scans_are_pruned(spark):
     from tripstats.operators import rollups as A
+    from tripstats.operators import states as S
     from tripstats.operators.enrich import enrich_trips
     from tripstats.sources.tables import trips_from_tables
-    p = plan(A.hourly_profile(enrich_trips(trips_from_tables(spark, SF_SMALL))))
+    p = plan(A.hourly_profile(S.hour_states(enrich_trips(trips_from_tables(spark, SF_SMALL)))))
     assert "SortMergeJoin" in p
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in p
     assert "PushedFilters" in p
@@ -32,14 +35,39 @@ def test_fact_join_is_sort_merge_and_scans_are_pruned(spark):
     assert p.count("HashAggregate") >= 2
 
 
-def test_reports_read_the_written_trip_table_pruned(spark):
-    p = plan(E.queries()["hourly_profile"](spark, SF_SMALL))
+def test_rollups_read_the_written_trip_table_pruned(spark):
+    from tripstats.operators import states as S
+    from tripstats.plans import catalog as Q
+    p = plan(S.hour_states(Q.enriched(spark, SF_SMALL)))
     assert "Join" not in p
     assert ("ReadSchema: struct<tip_amount:double,total_amount_excluding_tips:double,pickup_hour:int,"
             "trip_distance_km:double>") in p
     assert "PushedFilters: [IsNotNull(total_amount_excluding_tips), GreaterThan(total_amount_excluding_tips,0.0)]" in p
 
 
+REPORTS = ("month_partials hourly_counts hourly_series daily_totals duration_histogram duration_distribution "
+           "duration_by_class route_monthly route_rollup route_weighted hourly_profile hourly_fare hourly_tip "
+           "short_long_by_hour weekday_avg month_weekday_sum month_weekday_avg daily_trend top_routes "
+           "sql_weekday_avg sql_month_weekday_sum sql_month_weekday_avg sql_daily_trend sql_hourly_profile sql_hourly_tip "
+           "sql_duration_distribution sql_top_routes").split()
+
+
+@pytest.mark.parametrize("name", REPORTS)
+def test_reports_scan_no_trips(spark, name):
+    """Every rollup and report reads stored rollups (and zones), none the fact table."""
+    read = {f.split("/")[-2 if "src_month=" not in f else -3] for f in E.queries()[name](spark, SF_SMALL).inputFiles()}
+    assert read <= {"hourly", "durations", "routes", "hours", "sf0.001"}
+    p = plan(E.queries()[name](spark, SF_SMALL))
+    assert "tpep_pickup_datetime" not in p and "l_orderkey" not in p
+
+
+def test_top_routes_joins_zones_after_the_limit_only(spark):
+    p = plan(E.queries()["top_routes"](spark, SF_SMALL))
+    assert p.count("BroadcastHashJoin LeftOuter") // max(1, p.count("== Initial Plan ==") + 1) <= 2
+    tree = p[:p.index("(1) ")]
+    assert tree.index("BroadcastHashJoin") < tree.index("TakeOrderedAndProject", tree.index("BroadcastHashJoin"))
+
+
 def test_broadcast_only_below_bound(spark):
     small = spark.range(10).withColumnRenamed("id", "k")
     big = spark.range(1000).withColumnRenamed("id", "k")
@@ -59,7 +87,8 @@ def test_year_filter_reaches_a_file_scan(spark, tmp_path):
     path = str(tmp_path / "e")
     Q.enriched(spark, SF_SMALL).write.parquet(path)
     p = plan(A.month_partials(spark.read.parquet(path)))
-    assert "GreaterThanOrEqual(tpep_pickup_datetime" in p
+    assert "GreaterThanOrEqual(pickup_date,2025-01-01)" in p and "LessThan(pickup_date,2026-01-01)" in p
+    assert "tpep_pickup_datetime" not in p                      # no wide column for the year
 
 
 def test_registered_queries_prune_and_push(spark):
@@ -67,9 +96,6 @@ def test_registered_queries_prune_and_push(spark):
     months = q["union_months"](spark, SF_SMALL)             # all months; a month asked for prunes the scan
     p = plan(months.where("src_month IN (2, 3)"))
     assert "PartitionFilters: [src_month" in p and "IN (2,3)" in p
-    p = plan(q["hourly_counts"](spark, SF_SMALL))
-    assert "GreaterThanOrEqual(tpep_pickup_datetime,2025-01-01T00:00)" in p
-    assert "LessThan(tpep_pickup_datetime,2026-01-01T00:00)" in p
     p = plan(q["trips_with_zones"](spark, SF_SMALL))
     assert p.count("BroadcastHashJoin LeftOuter") == 2
     assert "GreaterThan(total_amount_excluding_tips,0.0)" in p

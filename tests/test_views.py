@@ -3,7 +3,8 @@ from conftest import SF_SMALL
 from tripstats.operators.reshape import union_all
 from tripstats.plans import batch
 from tripstats.plans import catalog as Q
-from tripstats.plans.views import register_views, run_query
+from tripstats.plans import dashboard
+from tripstats.plans.views import catalog_views, register_views, run_query
 
 
 def test_sql_on_stored_tables(spark, tmp_path):
@@ -14,13 +15,28 @@ def test_sql_on_stored_tables(spark, tmp_path):
     assert total == Q.daily(spark, SF_SMALL).groupBy().sum("total_trip").first()[0]
     top = run_query(spark, "SELECT max(trip_count) AS n FROM pick_drop_zone_f").first().n
     assert top == Q.queries()["top_routes"](spark, SF_SMALL).first().trip_count
+    # every text of the dashboard on the batch job's tables gives the report's rows, in its order
+    for name in dashboard.TEXTS:
+        want = Q.queries()[name.removeprefix("sql_")](spark, SF_SMALL)
+        got = dashboard.ask(spark, name)
+        assert got.columns == want.columns and got.collect() == want.collect(), name
+
+
+def test_parameters_are_values_and_not_text(spark):
+    catalog_views(spark, SF_SMALL)
+    day = "SELECT count(*) AS n FROM taxi_trip_daily WHERE pickup_days = :day"
+    assert run_query(spark, day, {"day": "Monday"}).first().n > 20
+    assert run_query(spark, day, {"day": "Monday' OR 'a' = 'a"}).first().n == 0
+    assert dashboard.ask(spark, "sql_top_routes", n=3).count() == 3
+    assert dashboard.ask(spark, "sql_daily_trend", before_month=2).count() == 31
+    assert dashboard.ask(spark, "sql_month_weekday_sum", year=2031).count() == 0
 
 
 def test_a_full_run_leaves_no_stale_month(spark, tmp_path):
     trips, zones, wh = Q.trips(spark, SF_SMALL), Q.zones(spark, SF_SMALL), str(tmp_path / "wh")
     batch.run(spark, trips.filter("src_month < 3"), zones, wh)
     tables = batch.run(spark, trips.filter("src_month = 1"), zones, wh)
-    for name in ("taxi_trips", "temp_table"):
+    for name in ("taxi_trips", "temp_table", "route_states", "hour_states", "temp_pick_drop_zone"):
         assert [r[0] for r in spark.read.parquet(tables[name]).select("src_month").distinct().collect()] == [1]
 
 

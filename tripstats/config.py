@@ -9,11 +9,13 @@ OVER_CAP_LABEL = ">180"
 SHORT_TRIP_KM = 3           # short trip: km <= 3, long trip: km > 3
 TOP_N_ROUTES = 10
 REPORT_YEAR = 2025
-REPORT_MONTHS = (1, 2, 3, 4, 5)
 LAST_REPORT_MONTH = 6       # daily trend keeps month(pickup_date) < 6
 MONTH_LABEL_PREFIX = "Month "
 TOPIC_PREFIX = "etl.public."
 
+# Year and month of the trip file that a row comes from.
+MONTH_KEYS = ("src_year", "src_month")
+
 # Column names of the trip files.
 PICKUP_TS = "tpep_pickup_datetime"
 DROPOFF_TS = "tpep_dropoff_datetime"

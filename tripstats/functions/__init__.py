@@ -1,4 +1,4 @@
 from tripstats.functions.columns import (  # noqa: F401
-    bucket_label, duration_bucket, duration_seconds, label_start, mean_2dp, miles_to_km,
-    net_of_tip, presented, weekday_name, weekday_rank, year_range,
+    bucket_label, cents, duration_bucket, duration_seconds, exact_mean, label_start, mean_of_means, miles_to_km,
+    net_of_tip, presented, rounded_mean, weekday_name, weekday_rank, year_range,
 )

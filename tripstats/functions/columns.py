@@ -43,13 +43,11 @@ def weekday_rank(day="pickup_days") -> Column:
     return F.nullif(pos, F.lit(0))
 
 
-def year_range(ts, year: int) -> Column:
-    """``year(ts) = year`` written as a range on the raw column, so the
+def year_range(day, year: int) -> Column:
+    """``year(day) = year`` of a date column, written as a range, so the
     predicate can be pushed to the file scan."""
-    lo = F.lit(f"{year:04d}-01-01 00:00:00").cast("timestamp_ntz")
-    hi = F.lit(f"{year + 1:04d}-01-01 00:00:00").cast("timestamp_ntz")
-    col = _c(ts)
-    return (col >= lo) & (col < hi)
+    col = _c(day)
+    return (col >= F.lit(f"{year:04d}-01-01").cast("date")) & (col < F.lit(f"{year + 1:04d}-01-01").cast("date"))
 
 
 def duration_bucket(seconds="trip_duration_sec", width_minutes: int = C.BUCKET_MINUTES) -> Column:
@@ -70,10 +68,35 @@ def label_start(label="duration_interval_class") -> Column:
     return F.regexp_extract(_c(label), r"^(\d+\.?\d*)", 1).try_cast("double")
 
 
-def mean_2dp(mean) -> Column:
-    """A mean rounded HALF_UP to cents, insensitive to summation order:
-    fixed at 6 decimals first, then rounded to 2."""
-    return F.round(_c(mean).cast("decimal(18,6)"), 2).cast("double")
+def cents(amount) -> Column:
+    """An amount that is rounded to two places, as a whole number of cents (sums of these are exact)."""
+    return F.round(_c(amount) * 100).cast("bigint")
+
+
+def exact_mean(total_cents, n, decimals: int = 2) -> Column:
+    """The mean of ``n`` amounts of ``total_cents`` together, rounded HALF_UP once.
+
+    The quotient is a decimal of 12 places beyond the rounded one, which lies
+    farther from a midpoint than its own error unless it is the midpoint
+    (for n below 10^11), so it rounds as the exact quotient does.
+    """
+    total = _c(total_cents).cast("decimal(20,0)") * F.lit(10 ** (decimals - 2)).cast("decimal(5,0)")
+    return F.round(total / _c(n).cast("decimal(12,0)")).cast("double") / 10 ** decimals
+
+
+def mean_of_means(total_cents, n) -> Column:
+    """Aggregate: the unweighted mean of groups' means, rounded HALF_UP once to two places."""
+    means = _c(total_cents).cast("decimal(20,0)") / _c(n).cast("decimal(17,0)")
+    return F.round(F.avg(means)).cast("double") / 100
+
+
+def rounded_mean(mean) -> Column:
+    """A mean that arrives as a double, rounded HALF_UP to two places.
+
+    Twelve places take away what binary fractions add; beyond that the
+    rounding is that of the decimal value.
+    """
+    return F.round(F.round(_c(mean).cast("decimal(38,15)"), 12), 2).cast("double")
 
 
 def presented(value, decimals: int = C.REPORT_DECIMALS) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripstats import config as C
-from tripstats.functions.columns import label_start, mean_2dp, presented, weekday_rank
+from tripstats.functions.columns import label_start, presented, weekday_rank
 from tripstats.operators.joins import with_zone_names
 from tripstats.operators.reshape import fold
 
@@ -86,6 +86,4 @@ def top_routes(routes: DataFrame, zones: DataFrame, n: int = C.TOP_N_ROUTES) ->
     top = routes.orderBy(F.col("trip_count").desc(), F.col(C.PU), F.col(C.DO)).limit(n)
     named = with_zone_names(top, zones)
     return (named.orderBy(F.col("trip_count").desc(), F.col(C.PU), F.col(C.DO))
-            .select("pickup_zone", "drop_zone", "trip_count",
-                    mean_2dp("avg_trip_distance_km").alias("avg_trip_distance_km"),
-                    mean_2dp("avg_fare_amount").alias("avg_fare_amount")))
+            .select("pickup_zone", "drop_zone", "trip_count", "avg_trip_distance_km", "avg_fare_amount"))

@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripstats import config as C
-from tripstats.functions.columns import (bucket_label, duration_bucket, label_start, mean_2dp,
+from tripstats.functions.columns import (bucket_label, duration_bucket, exact_mean, label_start, mean_of_means,
                                          year_range)
 from tripstats.operators.joins import with_zone_names
+from tripstats.operators.states import (HOUR_SUMS, ROUTE_KEYS, ROUTE_SUMS, mean_dollars, merged, month_keys,
+                                        paid_trips)
 
 HOURLY_KEYS = ("pickup_date", "pickup_hour", "pickup_days")
-ROUTE_KEYS = (C.PU, C.DO)
 
 
 def _sum_bigint(col: str, alias: str):
@@ -27,18 +28,20 @@ def _sum_bigint(col: str, alias: str):
 # --- A1 / A2 / A3: trip counts ------------------------------------------------------------
 
 def month_partials(enriched: DataFrame, year: int = C.REPORT_YEAR) -> DataFrame:
-    """Trips per (month file, date, hour, weekday) in ``year``: the per-month
-    hourly table, one group-by over all months instead of a loop of appends."""
-    return (enriched.filter(year_range(C.PICKUP_TS, year))
-            .groupBy("src_month", *HOURLY_KEYS)
+    """Trips per (month file, date, hour, weekday): the per-month hourly table,
+    one group-by over all months instead of a loop of appends.
+
+    Trips picked up in another year than the file's are left out; where the
+    files' year is not known, it is ``year``.
+    """
+    own = (F.year("pickup_date") == F.col("src_year")) if "src_year" in enriched.columns else year_range("pickup_date", year)
+    return (enriched.filter(own).groupBy(*month_keys(enriched), *HOURLY_KEYS)
             .agg(F.count(F.lit(1)).alias("count_trip")))
 
 
-def hourly_counts(enriched: DataFrame, year: int = C.REPORT_YEAR) -> DataFrame:
+def hourly_counts(partials: DataFrame) -> DataFrame:
     """Trips per (date, hour, weekday), month files combined."""
-    return (enriched.filter(year_range(C.PICKUP_TS, year))
-            .groupBy(*HOURLY_KEYS)
-            .agg(F.count(F.lit(1)).alias("count_trip")))
+    return partials.groupBy(*HOURLY_KEYS).agg(_sum_bigint("count_trip", "count_trip"))
 
 
 def hourly_series(partials: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ def duration_histogram(enriched: DataFrame, width_minutes: int = C.BUCKET_MINUTE
     The label is computed after the aggregation, on one row per bucket.
     """
     return (enriched.filter(F.col("trip_duration_sec") > 0)
-            .groupBy("src_month", duration_bucket("trip_duration_sec", width_minutes)
+            .groupBy(*month_keys(enriched), duration_bucket("trip_duration_sec", width_minutes)
                      .alias("duration_interval"))
             .agg(F.count(F.lit(1)).alias("trip_count"))
             .withColumn("duration_interval_class", bucket_label("duration_interval", width_minutes, cap)))
@@ -84,69 +87,50 @@ def duration_by_class(histogram: DataFrame) -> DataFrame:
 
 # --- J1 / J2 / A7 / A8 / D1: routes -------------------------------------------------------
 
-def paid_trips(enriched: DataFrame) -> DataFrame:
-    return enriched.filter(F.col("total_amount_excluding_tips") > 0)
-
-
 def trips_with_zones(enriched: DataFrame, zones: DataFrame) -> DataFrame:
     """Paid trips with pickup and drop-off zone names (two LEFT joins)."""
-    base = paid_trips(enriched).select("src_month", C.PU, C.DO, "trip_distance_km",
+    base = paid_trips(enriched).select(*month_keys(enriched), C.PU, C.DO, "trip_distance_km",
                                        "total_amount_excluding_tips")
     return with_zone_names(base, zones).select(
-        "src_month", C.PU, "pickup_zone", C.DO, "drop_zone", "trip_distance_km",
+        *month_keys(enriched), C.PU, "pickup_zone", C.DO, "drop_zone", "trip_distance_km",
         "total_amount_excluding_tips")
 
 
-def route_monthly(enriched: DataFrame, zones: DataFrame) -> DataFrame:
-    """Per month file and route: trips, mean km, mean fare without tip.
+def route_monthly(states: DataFrame, zones: DataFrame) -> DataFrame:
+    """Per month file and route: trips, mean km, mean fare without tip, from route states.
 
-    Aggregates first and joins the zone names to the (small) aggregate; a
-    zone name is a function of its LocationID, so the groups are the same
-    as grouping the joined trips, but the joins touch one row per route.
+    The zone names join the (small) states; a zone name is a function of its
+    LocationID, so the groups are the same as grouping the joined trips.
     """
-    agg = (paid_trips(enriched)
-           .groupBy("src_month", *ROUTE_KEYS)
-           .agg(F.count(F.lit(1)).alias("total_trip"),
-                F.avg("trip_distance_km").alias("avg_trip_distance_km"),
-                F.avg("total_amount_excluding_tips").alias("avg_fare_amount")))
-    return with_zone_names(agg, zones).select(
-        "src_month", C.PU, C.DO, "pickup_zone", "drop_zone", "total_trip",
-        "avg_trip_distance_km", "avg_fare_amount")
+    named = with_zone_names(states, zones)
+    return named.select(*month_keys(states), C.PU, C.DO, "pickup_zone", "drop_zone", "total_trip",
+                        mean_dollars("km_cents", "total_trip").alias("avg_trip_distance_km"),
+                        mean_dollars("fare_cents", "total_trip").alias("avg_fare_amount"))
 
 
-def route_rollup(monthly: DataFrame, decimals: int | None = 2) -> DataFrame:
+def route_rollup(states: DataFrame) -> DataFrame:
     """Routes over all month files: summed trips and the UNWEIGHTED mean of
-    the monthly means (the reference's definition), rounded to cents
-    (``decimals=2``) or left unrounded (``decimals=None``)."""
-    if decimals not in (2, None):
-        raise ValueError("decimals must be 2 or None")
-    out = (monthly.groupBy(*ROUTE_KEYS)
-           .agg(_sum_bigint("total_trip", "trip_count"),
-                F.avg("avg_trip_distance_km").alias("avg_trip_distance_km"),
-                F.avg("avg_fare_amount").alias("avg_fare_amount")))
-    if decimals == 2:
-        out = out.withColumns({"avg_trip_distance_km": mean_2dp("avg_trip_distance_km"),
-                               "avg_fare_amount": mean_2dp("avg_fare_amount")})
-    return out
-
-
-def route_weighted(enriched: DataFrame) -> DataFrame:
-    """Routes with trip-weighted means (sum and count carried, divided once)."""
-    return (paid_trips(enriched).groupBy(*ROUTE_KEYS)
-            .agg(F.count(F.lit(1)).alias("trip_count"),
-                 mean_2dp(F.avg("trip_distance_km")).alias("avg_trip_distance_km"),
-                 mean_2dp(F.avg("total_amount_excluding_tips")).alias("avg_fare_amount")))
+    the monthly means (the reference's definition), rounded once to cents."""
+    return (states.groupBy(*ROUTE_KEYS)
+            .agg(_sum_bigint("total_trip", "trip_count"),
+                 mean_of_means("km_cents", "total_trip").alias("avg_trip_distance_km"),
+                 mean_of_means("fare_cents", "total_trip").alias("avg_fare_amount")))
+
+
+def route_weighted(states: DataFrame) -> DataFrame:
+    """Routes with trip-weighted means (sums and counts added up, divided once)."""
+    return merged(states, ROUTE_KEYS, ROUTE_SUMS).select(
+        *ROUTE_KEYS, F.col("total_trip").alias("trip_count"),
+        exact_mean("km_cents", "total_trip").alias("avg_trip_distance_km"),
+        exact_mean("fare_cents", "total_trip").alias("avg_fare_amount"))
 
 
 # --- A9: hourly fare profile --------------------------------------------------------------
 
-def hourly_profile(enriched: DataFrame, short_km: float = C.SHORT_TRIP_KM) -> DataFrame:
-    """Per pickup hour over all month files (paid trips only):
+def hourly_profile(states: DataFrame) -> DataFrame:
+    """Per pickup hour over all month files (paid trips only), from hour states:
     mean fare per km (zero-distance trips leave this mean only), mean tip,
     and counts of short (km <= 3) and long (km > 3) trips."""
-    km = F.col("trip_distance_km")
-    return (paid_trips(enriched).groupBy("pickup_hour")
-            .agg(F.avg(F.col("total_amount_excluding_tips") / F.nullif(km, F.lit(0))).alias("avg_fare_per_km"),
-                 F.avg("tip_amount").alias("avg_tip_amount"),
-                 F.sum(F.when(km <= short_km, 1).otherwise(0)).cast("bigint").alias("short_trip_count"),
-                 F.sum(F.when(km > short_km, 1).otherwise(0)).cast("bigint").alias("long_trip_count")))
+    return merged(states, ["pickup_hour"], HOUR_SUMS).select(
+        "pickup_hour", (F.col("fare_per_km") / F.nullif("km_trips", F.lit(0))).alias("avg_fare_per_km"),
+        (F.col("tips") / F.col("trips")).alias("avg_tip_amount"), "short_trip_count", "long_trip_count")

@@ -1,26 +1,25 @@
 """Named queries: ``name -> fn(spark, sf_dir) -> DataFrame``.
 
 Each query reads the benchmark tables in ``sf_dir``: ``scan_trips`` and
-``zone_lookup`` directly, the others through the enriched trip table that
-Spark derives from them once per session (see :func:`enriched`).  Results
-are built with the operators; nothing is collected to the driver.
+``zone_lookup`` directly, those on single trips through the enriched trip
+table, and all rollups and reports through stored rollup tables, which Spark
+derives from the trips and which are rebuilt when the source changes (see
+``plans.stored``).  Nothing is collected to the driver.
 """
 from __future__ import annotations
 
-import os
-import threading
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tripstats import config as C
 from tripstats.functions.columns import presented
 from tripstats.operators import reports as R
 from tripstats.operators import rollups as A
+from tripstats.operators import states as S
 from tripstats.operators.enrich import enrich_trips
-from tripstats.session import app_id, child_session, new_scratch
+from tripstats.plans import stored
+from tripstats.session import child_session
 from tripstats.sinks.writers import write_month_partitions
 from tripstats.sources.tables import trips_from_tables, zones_from_tables
 
@@ -31,10 +30,6 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trips_from_tables(spark, sf_dir)
 
 
-_ENRICHED: dict[tuple[str, str], tuple[str, object]] = {}
-_LOCK = threading.Lock()
-
-
 def codegen_session(spark: SparkSession) -> SparkSession:
     """A child session (same cluster, own SQL conf) whose whole-stage code
     stays small enough for the JVM's JIT.
@@ -49,39 +44,42 @@ def codegen_session(spark: SparkSession) -> SparkSession:
     return child_session(spark, {"spark.sql.codegen.hugeMethodLimit": str(C.JIT_METHOD_LIMIT)})
 
 
+def _sources(sf_dir: str) -> list[str]:
+    """The benchmark tables that trips are made of."""
+    return [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("lineitem", "orders", "customer", "supplier")]
+
+
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Enriched trips, written once per session and source folder.
-
-    The first call runs the projection joins and the cleaning steps and
-    writes the result as a month-partitioned parquet table below the
-    session's checkpoint folder (the per-month trip tables every rollup
-    reads); later calls read that table back.  Reports then scan only the
-    columns they use, and lineage is cut at a written table, so a lost
-    executor costs a re-read, not a re-join.  Source tables are treated as
-    immutable within a session (as Spark's own cache does); ``forget()``
-    drops the written copies' registry.
+    """Enriched trips, stored as a month-partitioned table (the per-month trip tables).
+
+    The projection joins and the cleaning steps run once per state of the
+    source; readers scan only the columns they use, and lineage is cut at a
+    written table, so a lost executor costs a re-read, not a re-join.
     """
-    key = (app_id(spark), os.path.abspath(sf_dir))
-    for attempt in (1, 2):
-        with _LOCK:
-            if key not in _ENRICHED:
-                df = enrich_trips(trips_from_tables(codegen_session(spark), sf_dir))
-                path = new_scratch(spark, "enriched")
-                write_month_partitions(df, path, sort_by=("pickup_date", "pickup_hour"))
-                _ENRICHED[key] = (path, df.schema)
-            path, schema = _ENRICHED[key]
-        try:
-            return spark.read.schema(schema).parquet(path).select(*schema.names)
-        except AnalysisException:
-            if attempt == 2:
-                raise
-            with _LOCK:                 # the written copy was removed: build it again
-                _ENRICHED.pop(key, None)
+    def build(path: str) -> None:
+        df = enrich_trips(trips_from_tables(codegen_session(spark), sf_dir))
+        write_month_partitions(df, path, sort_by=("pickup_date", "pickup_hour"), whole=True)
+
+    df = stored.derived(spark, "trips", _sources(sf_dir), build)
+    return df.select("src_month", *[c for c in df.columns if c != "src_month"])
+
+
+#: Stored rollups: bounded by their key domains (days x hours, buckets, routes, hours per month file).
+ROLLUPS = {"hourly": A.month_partials, "durations": A.duration_histogram, "routes": S.route_states, "hours": S.hour_states}
+
+
+def rollup(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A rollup of the trips, stored per month file."""
+    def build(path: str) -> None:
+        df = ROLLUPS[name](enriched(spark, sf_dir)).repartition("src_month")     # small: one file a month
+        write_month_partitions(df, path, whole=True)
+
+    df = stored.derived(spark, name, _sources(sf_dir), build)
+    return df.select("src_month", *[c for c in df.columns if c != "src_month"])
 
 
 def forget() -> None:
-    with _LOCK:
-        _ENRICHED.clear()
+    stored.forget()
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,19 +87,23 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.daily_totals(A.month_partials(enriched(spark, sf_dir)))
+    return A.daily_totals(rollup(spark, sf_dir, "hourly"))
 
 
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.hourly_profile(enriched(spark, sf_dir))
+    return A.hourly_profile(rollup(spark, sf_dir, "hours"))
 
 
 def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.duration_histogram(enriched(spark, sf_dir))
+    return rollup(spark, sf_dir, "durations")
+
+
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup(spark, sf_dir, "routes")
 
 
 def route_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.route_monthly(enriched(spark, sf_dir), zones(spark, sf_dir))
+    return A.route_monthly(routes(spark, sf_dir), zones(spark, sf_dir))
 
 
 def _present(df: DataFrame, *cols: str) -> DataFrame:
@@ -122,9 +124,9 @@ BATCH_QUERIES: dict[str, Query] = {
     "enrich_trips": enriched,
     "union_months": q_union_months,
     "trips_with_zones": lambda s, d: A.trips_with_zones(enriched(s, d), zones(s, d)),
-    "month_partials": lambda s, d: A.month_partials(enriched(s, d)),
-    "hourly_counts": lambda s, d: A.hourly_counts(enriched(s, d)),
-    "hourly_series": lambda s, d: A.hourly_series(A.month_partials(enriched(s, d))),
+    "month_partials": lambda s, d: rollup(s, d, "hourly"),
+    "hourly_counts": lambda s, d: A.hourly_counts(rollup(s, d, "hourly")),
+    "hourly_series": lambda s, d: A.hourly_series(rollup(s, d, "hourly")),
     "daily_totals": lambda s, d: daily(s, d).orderBy("pickup_date"),
     "duration_histogram": histogram,
     "duration_distribution": lambda s, d: R.duration_distribution_report(
@@ -132,8 +134,8 @@ BATCH_QUERIES: dict[str, Query] = {
     "duration_by_class": lambda s, d: R.duration_distribution_report(
         A.duration_by_class(histogram(s, d)), tiebreak="duration_interval_class"),
     "route_monthly": lambda s, d: _present(route_months(s, d), "avg_trip_distance_km", "avg_fare_amount"),
-    "route_rollup": lambda s, d: A.route_rollup(route_months(s, d)).orderBy(C.PU, C.DO),
-    "route_weighted": lambda s, d: A.route_weighted(enriched(s, d)).orderBy(C.PU, C.DO),
+    "route_rollup": lambda s, d: A.route_rollup(routes(s, d)).orderBy(C.PU, C.DO),
+    "route_weighted": lambda s, d: A.route_weighted(routes(s, d)).orderBy(C.PU, C.DO),
     "hourly_profile": lambda s, d: R.hourly_profile_report(profile(s, d)),
     "hourly_fare": lambda s, d: R.hourly_fare(profile(s, d)),
     "hourly_tip": lambda s, d: R.hourly_tip(profile(s, d)),
@@ -142,11 +144,11 @@ BATCH_QUERIES: dict[str, Query] = {
     "month_weekday_sum": lambda s, d: R.month_weekday_sum(daily(s, d)),
     "month_weekday_avg": lambda s, d: R.month_weekday_avg(daily(s, d)),
     "daily_trend": lambda s, d: R.daily_trend(daily(s, d)),
-    "top_routes": lambda s, d: R.top_routes(A.route_rollup(route_months(s, d), decimals=None),
-                                            zones(s, d)),
+    "top_routes": lambda s, d: R.top_routes(A.route_rollup(routes(s, d)), zones(s, d)),
 }
 
 
 def queries() -> dict[str, Query]:
+    from tripstats.plans.dashboard import DASHBOARD_QUERIES
     from tripstats.plans.stream_queries import STREAM_QUERIES
-    return {**BATCH_QUERIES, **STREAM_QUERIES}
+    return {**BATCH_QUERIES, **STREAM_QUERIES, **DASHBOARD_QUERIES}

@@ -91,7 +91,9 @@ paid AS (
 route_monthly AS (
   SELECT t.src_month, t.PULocationID, t.DOLocationID, z1.Zone AS pickup_zone, z2.Zone AS drop_zone,
          count(*) AS total_trip, avg(t.trip_distance_km) AS avg_trip_distance_km,
-         avg(t.total_amount_excluding_tips) AS avg_fare_amount
+         avg(t.total_amount_excluding_tips) AS avg_fare_amount,
+         sum(CAST(round(t.trip_distance_km * 100) AS HUGEINT)) AS km_cents,
+         sum(CAST(round(t.total_amount_excluding_tips * 100) AS HUGEINT)) AS fare_cents
   FROM paid t
   LEFT JOIN zones z1 ON t.PULocationID = z1.LocationID
   LEFT JOIN zones z2 ON t.DOLocationID = z2.LocationID
@@ -99,8 +101,14 @@ route_monthly AS (
 ),
 route_means AS (
   SELECT PULocationID, DOLocationID, CAST(sum(total_trip) AS BIGINT) AS trip_count,
-         avg(avg_trip_distance_km) AS avg_trip_distance_km, avg(avg_fare_amount) AS avg_fare_amount
-  FROM route_monthly GROUP BY PULocationID, DOLocationID
+         -- monthly means in units of 10^-15 cents, averaged and rounded half up as integers
+         CAST((2 * sum((km_cents * 1000000000000000 + total_trip // 2) // total_trip)
+               + count(*) * 1000000000000000) // (2 * count(*) * 1000000000000000) AS DOUBLE) / 100
+           AS avg_trip_distance_km,
+         CAST((2 * sum((fare_cents * 1000000000000000 + total_trip // 2) // total_trip)
+               + count(*) * 1000000000000000) // (2 * count(*) * 1000000000000000) AS DOUBLE) / 100
+           AS avg_fare_amount
+  FROM (SELECT *, CAST(total_trip AS HUGEINT) AS n FROM route_monthly) GROUP BY PULocationID, DOLocationID
 ),
 profile AS (
   SELECT pickup_hour,
@@ -113,9 +121,9 @@ profile AS (
 """
 
 
-def r2(x: str) -> str:
-    """Mean rounded to cents through 6 fixed decimals (same as mean_2dp)."""
-    return f"CAST(round(CAST({x} AS DECIMAL(18,6)), 2) AS DOUBLE)"
+def mean2(cents: str, n: str) -> str:
+    """The mean of ``n`` amounts of whole cents, none negative in sum, rounded half up by integer division."""
+    return f"CAST((2 * CAST({cents} AS HUGEINT) + {n}) // (2 * {n}) AS DOUBLE) / 100"
 
 
 def r6(x: str) -> str:
@@ -127,9 +135,8 @@ WEEKDAY_RANK = ("CASE pickup_days WHEN 'Monday' THEN 1 WHEN 'Tuesday' THEN 2 WHE
                 "WHEN 'Thursday' THEN 4 WHEN 'Friday' THEN 5 WHEN 'Saturday' THEN 6 "
                 "WHEN 'Sunday' THEN 7 END")
 
-TOP_ROUTES = f"""
-SELECT z1.Zone AS pickup_zone, z2.Zone AS drop_zone, t.trip_count,
-       {r2('t.avg_trip_distance_km')} AS avg_trip_distance_km, {r2('t.avg_fare_amount')} AS avg_fare_amount
+TOP_ROUTES = """
+SELECT z1.Zone AS pickup_zone, z2.Zone AS drop_zone, t.trip_count, t.avg_trip_distance_km, t.avg_fare_amount
 FROM (SELECT * FROM route_means ORDER BY trip_count DESC, PULocationID, DOLocationID LIMIT 10) t
 LEFT JOIN zones z1 ON t.PULocationID = z1.LocationID
 LEFT JOIN zones z2 ON t.DOLocationID = z2.LocationID
@@ -171,14 +178,11 @@ QUERIES = {
         SELECT src_month, PULocationID, DOLocationID, pickup_zone, drop_zone, total_trip,
                {r6('avg_trip_distance_km')} AS avg_trip_distance_km, {r6('avg_fare_amount')} AS avg_fare_amount
         FROM route_monthly""",
-    "route_rollup": f"""
-        SELECT PULocationID, DOLocationID, trip_count,
-               {r2('avg_trip_distance_km')} AS avg_trip_distance_km, {r2('avg_fare_amount')} AS avg_fare_amount
-        FROM route_means ORDER BY PULocationID, DOLocationID""",
+    "route_rollup": "SELECT * FROM route_means ORDER BY PULocationID, DOLocationID",
     "route_weighted": f"""
         SELECT PULocationID, DOLocationID, count(*) AS trip_count,
-               {r2('avg(trip_distance_km)')} AS avg_trip_distance_km,
-               {r2('avg(total_amount_excluding_tips)')} AS avg_fare_amount
+               {mean2('sum(CAST(round(trip_distance_km * 100) AS HUGEINT))', 'count(*)')} AS avg_trip_distance_km,
+               {mean2('sum(CAST(round(total_amount_excluding_tips * 100) AS HUGEINT))', 'count(*)')} AS avg_fare_amount
         FROM paid GROUP BY PULocationID, DOLocationID ORDER BY PULocationID, DOLocationID""",
     "hourly_profile": f"""
         SELECT pickup_hour, {r6('avg_fare_per_km')} AS avg_fare_per_km, {r6('avg_tip_amount')} AS avg_tip_amount,
@@ -212,5 +216,7 @@ QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
+    from tripstats.plans.dashboard import TEXTS
     from tripstats.plans.stream_oracle import STREAM_SQL
-    return {k: BASE + v for k, v in {**QUERIES, **STREAM_SQL}.items()}
+    asked = {name: QUERIES[name.removeprefix("sql_")] for name in TEXTS}      # a text gives the rows of its report
+    return {k: BASE + v for k, v in {**QUERIES, **STREAM_SQL, **asked}.items()}

@@ -1,6 +1,6 @@
 """DuckDB twins of the change-feed queries: the final state of each stream
 equals the batch rollup of the same feed."""
-from tripstats.plans.oracle import r2, r6
+from tripstats.plans.oracle import r6
 
 STREAM_SQL = {
     "to_messages": """
@@ -12,7 +12,10 @@ STREAM_SQL = {
         FROM month_partials""",
     "cdc_unwrap": """
         SELECT pickup_date, CAST(pickup_hour AS BIGINT) AS pickup_hour, pickup_days, count_trip
-        FROM month_partials""",
+        FROM month_partials
+        UNION ALL
+        SELECT pickup_date, CAST(pickup_hour AS BIGINT), pickup_days, count_trip + 1
+        FROM month_partials WHERE pickup_hour % 2 = 0""",
     "topic_replay": f"""
         SELECT CAST(pickup_hour AS BIGINT) AS pickup_hour, {r6('avg_fare_per_km')} AS avg_fare_per_km,
                {r6('avg_tip_amount')} AS avg_tip_amount, short_trip_count, long_trip_count
@@ -21,10 +24,7 @@ STREAM_SQL = {
     "stream_duration": """
         SELECT duration_interval, duration_interval_class, CAST(sum(trip_count) AS BIGINT) AS trip_count
         FROM histogram GROUP BY duration_interval, duration_interval_class""",
-    "stream_routes": f"""
-        SELECT PULocationID, DOLocationID, trip_count,
-               {r2('avg_trip_distance_km')} AS avg_trip_distance_km, {r2('avg_fare_amount')} AS avg_fare_amount
-        FROM route_means""",
+    "stream_routes": "SELECT * FROM route_means",
     "stream_fare": f"""
         SELECT CAST(pickup_hour AS BIGINT) AS pickup_hour, {r6('avg_fare_per_km')} AS avg_fare_per_km,
                {r6('avg_tip_amount')} AS avg_tip_amount, short_trip_count, long_trip_count

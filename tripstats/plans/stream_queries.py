@@ -2,9 +2,9 @@
 topic replay and the four streaming rollups.
 
 The feed is produced from the batch rollups of the benchmark tables, one
-publish per month file (as the per-month appends of the upstream tables
-would emit it).  Streams run with ``availableNow`` into fresh folders under
-the session's checkpoint folder and return the merged target table.
+file per month file (as the per-month appends of the upstream tables would
+emit it).  Streams run with ``availableNow`` into fresh folders under the
+session's checkpoint folder and return the target table.
 """
 from __future__ import annotations
 
@@ -12,30 +12,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripstats import config as C
-from tripstats.functions.columns import mean_2dp, presented
-from tripstats.operators import rollups as A
+from tripstats.functions.columns import presented, rounded_mean
+from tripstats.operators.reshape import union_all
 from tripstats.plans import catalog as Q
 from tripstats.session import new_scratch
-from tripstats.sources.messages import (TOPIC_SCHEMAS, decode_change_feed, folder_record_stream,
-                                        publish, replay_topic, to_messages)
+from tripstats.sources.messages import (TOPIC_SCHEMAS, append_messages, decode_change_feed, folder_record_stream,
+                                        folder_records, replay_topic, to_messages)
 from tripstats.streaming.rollup_streams import start_rollup_stream, stream_session
 
 
 def upstream_table(spark: SparkSession, sf_dir: str, topic: str) -> DataFrame:
     """The per-month upstream table of ``topic``, with ``src_month``."""
-    enriched = Q.enriched(spark, sf_dir)
     if topic == "temp_table":
-        return A.month_partials(enriched).select(
+        return Q.rollup(spark, sf_dir, "hourly").select(
             "src_month", "pickup_date", F.col("pickup_hour").cast("long").alias("pickup_hour"),
             "pickup_days", "count_trip")
     if topic == "temp_duration_interval":
-        return A.duration_histogram(enriched).select(
+        return Q.histogram(spark, sf_dir).select(
             "src_month", "duration_interval", "trip_count", "duration_interval_class")
     if topic == "temp_pick_drop_zone":
-        return A.route_monthly(enriched, Q.zones(spark, sf_dir))
+        return Q.route_months(spark, sf_dir)
     if topic == "temp_trip_fare":
         # The fare table is one table over all months, rewritten by each run.
-        return A.hourly_profile(enriched).select(
+        return Q.profile(spark, sf_dir).select(
             F.lit(0).alias("src_month"), F.col("pickup_hour").cast("long").alias("pickup_hour"),
             "avg_fare_per_km", "avg_tip_amount", "short_trip_count", "long_trip_count")
     raise KeyError(topic)
@@ -58,53 +57,24 @@ def upstream_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return _Upstream(spark, sf_dir)
 
 
-def write_upstream(spark: SparkSession, sf_dir: str, topic: str, root: str) -> DataFrame:
-    """Write the upstream table once (partitioned by month file) and read it back.
-
-    The upstream tables are rollups bounded by their key domains (a month of
-    days x hours, buckets or routes), so each month goes to one writer task
-    and one file, whatever the session's shuffle partition count.
-    """
-    table_path = f"{root}/{topic}"
-    (upstream_table(spark, sf_dir, topic).repartition("src_month")
-     .write.partitionBy("src_month").parquet(table_path))
-    return spark.read.parquet(table_path)
-
-
-def topic_months(stored: DataFrame) -> list[int]:
-    """The months the upstream table holds (a calendar's worth of rows; the
-    fare table is one table over all months, stored as month 0)."""
-    return sorted(r[0] for r in stored.select("src_month").distinct().collect())
-
-
-def publish_month(stored: DataFrame, topic: str, month: int, folder: str) -> None:
-    rows = stored.filter(F.col("src_month") == month).drop("src_month")
-    publish(to_messages(rows, C.TOPIC_PREFIX + topic), folder)
-
-
-def feed_topic(spark: SparkSession, sf_dir: str, topic: str, root: str) -> str:
-    """Publish the upstream table to a folder topic one month file at a time."""
-    stored = write_upstream(spark, sf_dir, topic, root)
-    folder = f"{root}/topic-{topic}"
-    for m in topic_months(stored):
-        publish_month(stored, topic, m, folder)
+def feed_topic(spark: SparkSession, sf_dir: str, topic: str, folder: str, keys: list[str] | None = None) -> str:
+    """Append the upstream table to a folder topic, one file per month file."""
+    rows = upstream_table(spark, sf_dir, topic)
+    append_messages(to_messages(rows, C.TOPIC_PREFIX + topic, keys, keep=("src_month",)), folder, by="src_month")
     return folder
 
 
-def run_stream(spark: SparkSession, sf_dir: str, topic: str) -> DataFrame:
-    """Publish each month's changes, then run the stream once
-    (``availableNow``, one month file per micro-batch, so the target is
-    merged across several batches), compact the target and read it.
+def run_stream(spark: SparkSession, sf_dir: str, topic: str, files_per_batch: int = 2) -> DataFrame:
+    """Feed the topic, then run its stream once (``availableNow``) in several
+    micro-batches, each of which replaces the target, and read the target.
 
-    Restarts from the checkpoint between publishes are covered by the test
-    suite; here one run avoids paying a query start per month.
+    Restarts from the checkpoint between appends are covered by the test suite.
     """
     root = new_scratch(spark, f"stream-{topic}")
-    folder = feed_topic(spark, sf_dir, topic, root)
-    query, target = start_rollup_stream(folder_record_stream(stream_session(spark), folder, 1), topic,
-                                        f"{root}/target", f"{root}/checkpoint")
+    folder = feed_topic(spark, sf_dir, topic, f"{root}/topic")
+    records = folder_record_stream(stream_session(spark, topic), folder, files_per_batch)
+    query, target = start_rollup_stream(records, topic, f"{root}/target", f"{root}/checkpoint")
     query.awaitTermination()
-    target.compact(spark)
     return target.read(spark)
 
 
@@ -121,8 +91,8 @@ def q_stream_duration(spark, sf_dir):
 def q_stream_routes(spark, sf_dir):
     return run_stream(spark, sf_dir, "temp_pick_drop_zone").select(
         "PULocationID", "DOLocationID", "trip_count",
-        mean_2dp("avg_trip_distance_km").alias("avg_trip_distance_km"),
-        mean_2dp("avg_fare_amount").alias("avg_fare_amount"))
+        rounded_mean("avg_trip_distance_km").alias("avg_trip_distance_km"),
+        rounded_mean("avg_fare_amount").alias("avg_fare_amount"))
 
 
 def q_stream_fare(spark, sf_dir):
@@ -137,17 +107,27 @@ def q_to_messages(spark, sf_dir):
 
 
 def q_cdc_unwrap(spark, sf_dir):
-    """Enveloped change events of the hourly table decoded to new row states."""
+    """The change events of the hourly table decoded to new row states.
+
+    All rows are created in envelopes with epoch-day dates; rows of even
+    hours are updated by flat rows with ISO dates; those of hours divisible
+    by three are deleted, each delete followed by its tombstone, and neither
+    carries a new state.
+    """
+    topic = C.TOPIC_PREFIX + "temp_table"
     rows = upstream_table(spark, sf_dir, "temp_table").drop("src_month")
-    records = to_messages(rows, C.TOPIC_PREFIX + "temp_table", envelope=True)
-    return decode_change_feed(records, TOPIC_SCHEMAS["temp_table"])
+    gone = rows.where(F.col("pickup_hour") % 3 == 0)
+    updated = rows.where(F.col("pickup_hour") % 2 == 0).withColumn("count_trip", F.col("count_trip") + 1)
+    feed = [to_messages(rows, topic, envelope=True), to_messages(updated, topic, epoch_day_dates=False),
+            to_messages(gone, topic, envelope=True, op="d"),
+            to_messages(gone, topic, ["pickup_date", "pickup_hour"]).withColumn("value", F.lit(None).cast("string"))]
+    return decode_change_feed(union_all(feed), TOPIC_SCHEMAS["temp_table"])
 
 
 def q_topic_replay(spark, sf_dir):
     """The fare topic replayed from the earliest record (all messages)."""
-    root = new_scratch(spark, "replay")
-    folder = feed_topic(spark, sf_dir, "temp_trip_fare", root)
-    rows = replay_topic(spark, folder, TOPIC_SCHEMAS["temp_trip_fare"])
+    folder = feed_topic(spark, sf_dir, "temp_trip_fare", new_scratch(spark, "replay"))
+    rows = replay_topic(folder_records(spark, folder), TOPIC_SCHEMAS["temp_trip_fare"])
     return rows.withColumns({"avg_fare_per_km": presented("avg_fare_per_km"),
                              "avg_tip_amount": presented("avg_tip_amount")})
 
