@@ -2,15 +2,16 @@
 
 Rows become leaves, the leaves of a group (source) a tree of fan-out
 ``FANOUT``, the groups' roots one more tree.  A node is ``(tree, level, at)``.
-On each level a node computes the places of its siblings by slot offsets,
-``run * FANOUT + (slot + shift) mod FANOUT`` for every shift, and one
-equi-join of the level with itself brings their digests; the rows of slot 0
-emit the parents.  All keys hold the place, so a group with a third of all
-rows spreads over all tasks.  Each level is written once.
-
-A node's way to the root is put together from the top: the ways of a level
-join those of the level above, an equi-join on the run, so only the leaves'
-way is as wide as the tree is high.
+On each level the node of slot 0 of every run computes the places of its
+siblings by slot offsets, ``at + 1 .. at + FANOUT - 1``, one equi-join of the
+level with itself brings their digests, and the slot-0 rows emit the parents,
+each with the digests of its run.  All keys hold the place, so a group with a
+third of all rows spreads over all tasks.  Each level is written once.
+
+The way of a node to its root is the runs of its ancestors and its slots in
+them.  Ways are put together from the top: those of a level join those of
+the level above, an equi-join on the run, and only the leaves' parents, a
+``FANOUT``-th of the rows, carry one.
 """
 from __future__ import annotations
 
@@ -25,7 +26,9 @@ FANOUT = 16
 #: Columns of a leaf, in order.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
-WAY = "array<struct<left:binary,right:binary>>"
+#: Bytes of a digest.
+DIGEST = 32
+WAY = "array<struct<run:binary,slot:int>>"
 
 
 def field(c: Column) -> Column:
@@ -44,67 +47,61 @@ def text_of(digests: Column) -> Column:
     return F.lower(F.hex(digests))
 
 
-def _siblings(nodes: DataFrame, fanout: int) -> DataFrame:
-    """``nodes(tree, at, n, hash)`` of one level with ``left`` and ``right``: the digests of
-    their run before and after them, from one equi-join on computed places."""
-    slot, run = F.col("at") % fanout, (F.col("at") / fanout).cast("long")
-    shifts = F.sequence(F.lit(1), F.lit(fanout - 1))
-    asks = (nodes.where("n > 1")
-            .select("tree", F.col("at").alias("me"),
-                    F.explode(F.transform(shifts, lambda k: run * fanout + (slot + k) % fanout)).alias("at"), "n")
-            .where("at < n").drop("n"))
-    got = (asks.join(nodes.select("tree", "at", "hash"), ["tree", "at"])
-           .groupBy("tree", "me").agg(F.array_sort(F.collect_list(F.struct("at", "hash"))).alias("run")))
-
-    def blob(keep):
-        return F.aggregate(F.filter("run", keep), F.lit(b""), lambda a, s: F.concat(a, s["hash"]))
-
-    me = F.col("me")
-    sides = got.select("tree", F.col("me").alias("at"), blob(lambda s: s["at"] < me).alias("left"),
-                       blob(lambda s: s["at"] > me).alias("right"))
-    none = F.lit(b"")
-    return nodes.join(sides, ["tree", "at"], "left").withColumns(
-        {"left": F.coalesce("left", none), "right": F.coalesce("right", none)})
-
-
 def grow(leaves: DataFrame, largest: int, fanout: int = FANOUT) -> list[DataFrame]:
-    """All levels over ``leaves(tree, at, n, hash)``, each with ``left`` and ``right``.
+    """All levels above ``leaves(tree, at, n, hash)``, each with ``run``, the children's digests.
 
     ``n`` counts the nodes of the tree on the level, ``largest`` those of the
-    largest tree.  A tree of one node is done and takes no part in the levels above.
+    largest tree.  A tree of one node is done and takes no part above.
     """
     levels, nodes = [], leaves
-    while True:
-        level = cut(_siblings(nodes, fanout), "merkle-level")
-        levels.append(level)
-        nodes = level.where(F.col("n") > 1).where(F.col("at") % fanout == 0).select(
-            "tree", (F.col("at") / fanout).cast("long").alias("at"),
-            F.ceil(F.col("n") / fanout).cast("long").alias("n"),
-            digest(text_of(F.concat("left", "hash", "right"))).alias("hash"))
-        if largest <= 1:
-            return levels
+    while largest > 1:
+        live = nodes.where("n > 1").select("tree", "at", "n", "hash")
+        zero = live.where(F.col("at") % fanout == 0)
+        asks = (zero.select("tree", "n", F.col("at").alias("zero"), F.explode(F.sequence(F.lit(1), F.lit(fanout - 1))).alias("shift"))
+                .select("tree", "zero", "n", (F.col("zero") + F.col("shift")).alias("at")).where("at < n"))
+        run = (asks.join(live.select("tree", "at", "hash"), ["tree", "at"]).select("tree", "zero", "n", "at", "hash")
+               .union(zero.select("tree", F.col("at").alias("zero"), "n", "at", "hash"))
+               .groupBy("tree", "zero", "n").agg(F.array_sort(F.collect_list(F.struct("at", "hash"))).alias("run")))
+        run = run.select("tree", (F.col("zero") / fanout).cast("long").alias("at"), F.ceil(F.col("n") / fanout).cast("long").alias("n"),
+                         F.aggregate("run", F.lit(b""), lambda a, s: F.concat(a, s["hash"])).alias("run"))
+        nodes = cut(run.withColumn("hash", digest(text_of(F.col("run")))), "merkle-level")
+        levels.append(nodes)
         largest = -(-largest // fanout)
+    return levels
 
 
-def ways(levels: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """``(tree, at, hash, way, top)`` of the lowest level: the sides of each run up to the tree's root."""
-    above = None
-    for i, level in reversed(list(enumerate(levels))):
-        step = F.array(F.struct("left", "right")).cast(WAY)
-        mine = level.withColumn("up", (F.col("at") / fanout).cast("long"))
-        here = mine.where("n = 1").select("tree", "at", "hash", F.array().cast(WAY).alias("way"),
-                                          F.col("hash").alias("top"))
+def with_ways(leaves: DataFrame, largest: int, fanout: int = FANOUT) -> DataFrame:
+    """``leaves(tree, at, n, hash, ...)`` with ``way``, the runs and slots up to the tree's root, and the root, ``top``."""
+    slot, up = (F.col("at") % fanout).cast("int"), (F.col("at") / fanout).cast("long")
+    none, above = F.array().cast(WAY), None
+    for nodes in reversed(grow(leaves, largest, fanout)):
+        here = nodes.where("n = 1").select("tree", "at", "run", none.alias("rest"), F.col("hash").alias("top"))
         if above is not None:
-            up = above.select("tree", F.col("at").alias("up"), F.col("way").alias("rest"), "top")
-            here = here.union(mine.where("n > 1").join(up, ["tree", "up"]).select(
-                "tree", "at", "hash", F.concat(step, F.col("rest")).alias("way"), "top"))
-        above = cut(here, "merkle-ways") if i else here
-    return above
+            over = above.select("tree", F.col("at").alias("up"), F.col("run").alias("over"), F.col("rest").alias("more"), "top")
+            here = here.union(nodes.where("n > 1").withColumn("up", up).join(over, ["tree", "up"]).select(
+                "tree", "at", "run", F.concat(F.array(F.struct(F.col("over").alias("run"), slot.alias("slot"))), "more"), "top"))
+        above = cut(here, "merkle-ways")
+    if above is None:                         # every tree is a lone leaf
+        return leaves.withColumns({"way": none, "top": F.col("hash")})
+    over = above.select("tree", F.col("at").alias("up"), "run", "rest", "top")
+    way = F.when(F.col("run").isNull(), none).otherwise(
+        F.concat(F.array(F.struct("run", slot.alias("slot"))), F.col("rest")))
+    return (leaves.withColumn("up", up).join(over, ["tree", "up"], "left")
+            .withColumns({"way": way, "top": F.coalesce("top", "hash")}).drop("up", "run", "rest"))
+
+
+def _sides(step: Column) -> tuple[Column, Column]:
+    """The digests of a run before and after a slot."""
+    before = step["slot"] * DIGEST
+    return step["run"].substr(F.lit(1), before), step["run"].substr(before + DIGEST + 1, F.octet_length(step["run"]))
 
 
 def fold(leaf: Column, way: Column) -> Column:
-    """The root (binary) that a leaf and the sides of its runs lead to."""
-    return F.aggregate(way, leaf, lambda a, s: digest(text_of(F.concat(s["left"], a, s["right"]))))
+    """The root (binary) that a leaf and the runs on its way lead to."""
+    def up(a: Column, step: Column) -> Column:
+        left, right = _sides(step)
+        return digest(text_of(F.concat(left, a, right)))
+    return F.aggregate(way, leaf, up)
 
 
 def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "source", key: str = "doc_id",
@@ -131,18 +128,17 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "so
     leaves = cut(placed.join(groups, placed["of"].eqNullSafe(groups["of"]))
                  .select("key", "other", "tree", (F.col("at") - F.col("tree")).alias("at"), "n", "hash"), "merkle-leaves")
     size = groups.agg(F.count("*").alias("trees"), F.coalesce(F.max("n"), F.lit(0)).alias("largest")).first()
-    low = ways(grow(leaves.select("tree", "at", "n", "hash"), size["largest"], fanout), fanout)
-    low = cut(low.withColumnRenamed("top", "subroot"), "merkle-ways")
+    low = with_ways(leaves, size["largest"], fanout).withColumnRenamed("top", "subroot")
 
     # the trees in the order of their groups are the leaves of one more tree
-    tops = numbered(low.where("at = 0").select("tree", F.col("subroot").alias("hash")), [F.col("tree")], "merkle-roots")
-    high = ways(grow(tops.select(F.lit(0).cast("long").alias("tree"), "at",
-                                 F.lit(size["trees"]).cast("long").alias("n"), "hash"), size["trees"], fanout), fanout)
-    high = tops.select(F.col("tree").alias("of"), "at").join(high.drop("tree", "hash"), "at").select(
-        F.col("of").alias("tree"), F.col("way").alias("rest"), F.col("top").alias("root"))
+    tops = numbered(low.where("at = 0").select(F.col("tree").alias("of"), F.col("subroot").alias("hash")), [F.col("of")],
+                    "merkle-roots")
+    high = with_ways(tops.withColumns({"tree": F.lit(0).cast("long"), "n": F.lit(size["trees"]).cast("long")}),
+                     size["trees"], fanout)
+    high = cut(high.select(F.col("of").alias("tree"), F.col("way").alias("rest"), F.col("top").alias("root")), "merkle-roots")
     way = F.concat("way", "rest")
-    proof = F.aggregate(way, F.lit(b""), lambda a, s: F.concat(a, s["left"], s["right"]))
-    out = (leaves.select("tree", "at", "key", "other").join(low, ["tree", "at"]).join(high, "tree")
+    proof = F.aggregate(way, F.lit(b""), lambda a, s: F.concat(a, *_sides(s)))
+    out = (low.join(high, "tree")
            .select(F.col("key").alias(key), text_of(F.col("hash")).alias("leaf"), text_of(F.col("subroot")).alias("subroot"),
                    text_of(F.col("root")).alias("root"), F.sha2(text_of(proof).cast("binary"), 256).alias("proof_sha256"),
                    text_of(fold(F.coalesce("other", "hash"), way)).alias("folded_root")))
