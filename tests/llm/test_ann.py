@@ -58,8 +58,7 @@ def test_clustered_vectors_need_few_leaves(spark):
     assert recall(found(ann.search(df, sample=2000)), brute(ids, x)) >= 0.9
     rows = ann.usable(df)
     tree = ann.fit(rows, sample=2000)
-    blocks, _ = ann.index(rows, tree)
-    visits = ann.calibrate(blocks, rows.where("vec_id % 100 = 0"), tree, 10)
+    visits = ann.calibrate(ann.file(rows, tree), rows.where("vec_id % 100 = 0"), tree, 10)
     assert visits < tree.leaves / 4
 
 
@@ -90,3 +89,14 @@ def test_vectors_that_take_no_part(spark):
 @pytest.mark.parametrize("rows", [[], [(3, None, 1)], [(100, [1.0], 1)]])
 def test_nothing_to_find(spark, rows):
     assert ann.search(spark.createDataFrame(rows, SCHEMA)).collect() == []
+
+
+def test_leaves_in_blocks():
+    sizes = np.array([3, 4, 5, 40, 0, 2, 10, 1, 10])
+    first, count = ann.blocks_of(sizes, 10)
+    held = {}
+    for leaf, n in enumerate(sizes):
+        assert count[leaf] == max(1, -(-n // 10))
+        for b in range(first[leaf], first[leaf] + count[leaf]):
+            held[b] = held.get(b, 0) + min(n, 10)
+    assert max(held.values()) <= 10 and sorted(held) == list(range(len(held)))

@@ -3,15 +3,17 @@
 The tree is fitted on a bounded sample (``SAMPLE`` vectors, the smallest by
 hash of their id): k-means splits a node into ``BRANCH`` until it holds at
 most ``LEAF`` sampled vectors.  Every vector of the table is then filed under
-the leaf that a greedy descent reaches, and the leaves are stored in blocks of
-bounded size, so a leaf of any weight (copies of one vector) is many blocks.
+the leaf that a greedy descent reaches.  Neighbouring leaves share a block of
+at most ``BLOCK`` vectors, and a leaf of more (copies of one vector, say) is
+as many blocks as it takes.
 
 A query walks the tree with a priority queue of nodes by the distance of their
 centres and visits leaves in the order in which they leave the queue.  How
 many it visits is calibrated: the exact neighbours of up to ``CALIBRATE``
 queries are computed against all vectors, and visits widen until the leaves
 visited hold ``RECALL`` of them.  Visited leaves are searched exactly, a block
-of vectors against a block of queries at a time.
+of vectors against a block of queries at a time; a query meets a block once,
+with all the leaves it visits there, and takes k vectors from it.
 """
 from __future__ import annotations
 
@@ -149,40 +151,59 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def index(rows: DataFrame, tree: Tree, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Every row of ``rows(vec_id, v)`` filed: ``(vec_id, v, leaf, block)`` and the leaves ``(leaf, blocks)``."""
-    def file(batches):
+def file(rows: DataFrame, tree: Tree) -> DataFrame:
+    """Every row of ``rows(vec_id, v)`` with its ``leaf``, written once."""
+    def task(batches):
         for b in batches:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(1), pa.array(tree.file(_vectors(b.column(1))), pa.int32())],
                     names=["vec_id", "v", "leaf"])
-
-    filed = cut(rows.select("vec_id", "v").mapInArrow(file, "vec_id long, v array<double>, leaf int"), "filed")
-    leaves = cut(filed.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "leaves")
-    return filed.join(F.broadcast(leaves), "leaf").select(
-        "vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block")), leaves
-
-
-def _nearest(ids: np.ndarray, x: np.ndarray, asks: np.ndarray, q: np.ndarray, k: int):
+    return cut(rows.select("vec_id", "v").mapInArrow(task, "vec_id long, v array<double>, leaf int"), "filed")
+
+
+def blocks_of(sizes: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each leaf, from the leaves' sizes."""
+    first, count, at, held = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
+    for leaf, n in enumerate(sizes.tolist()):
+        if held and held + n > block:
+            at, held = at + 1, 0
+        first[leaf] = at
+        if n > block:
+            count[leaf] = -(-n // block)
+            at, held = at + count[leaf], 0
+        else:
+            held += n
+    return first, count
+
+
+def _nearest(ids: np.ndarray, x: np.ndarray, asks: np.ndarray, q: np.ndarray, k: int, leaf: np.ndarray | None = None,
+             visited: np.ndarray | None = None):
     """``(position of the query, vec_id, distance, row)`` of the k nearest rows of each query, ties to the smaller
-    id, its own id left out.
+    id, its own id left out; with ``visited`` (queries x leaves), of the rows whose ``leaf`` it visits.
 
     Expanded squares pick the rows that can be among them; those are then
     measured exactly, component by component.
     """
-    xx, out = (x * x).sum(1), []
+    every, out = (ids, x, leaf, (x * x).sum(1)), []
     for a in range(0, len(q), 128):
-        some = q[a:a + 128]
+        some, (ids, x, leaf, xx), back = q[a:a + 128], every, None
+        if visited is not None:               # only the rows that one of these queries visits
+            back = np.flatnonzero(visited[a:a + 128].any(0)[leaf])
+            ids, x, leaf, xx = ids[back], x[back], leaf[back], xx[back]
+        if not len(ids):
+            continue
         d = xx + (some * some).sum(1)[:, None] - 2.0 * (some @ x.T)
         d[asks[a:a + 128][:, None] == ids] = np.inf
+        if visited is not None:
+            d[~visited[a:a + 128][:, leaf]] = np.inf
         slack = 1e-9 * (xx.max() + (some * some).sum(1))
         kth = np.partition(d, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
         for i in range(len(some)):
             rows = np.flatnonzero(d[i] <= kth[i] + slack[i]) if np.isfinite(kth[i]) else np.flatnonzero(np.isfinite(d[i]))
             exact = np.sqrt(((x[rows] - some[i]) ** 2).sum(1))
             best = np.lexsort((ids[rows], exact))[:k]
-            out += [(a + i, ids[rows[j]], exact[j], rows[j]) for j in best]
+            out += [(a + i, ids[rows[j]], exact[j], rows[j] if back is None else back[rows[j]]) for j in best]
     return out
 
 
@@ -236,41 +257,52 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = SAMP
     tree = fit(rows, sample, leaf=leaf)
     if tree is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    blocks, leaves = index(rows, tree, block)
-    blocks = cut(blocks, "blocks")
+    filed = file(rows, tree)
     queries = rows.where(F.col("vec_id") % every == 0)
-    visits = max(calibrate(blocks, queries, tree, k, recall=recall), 1)
+    visits = max(calibrate(filed, queries, tree, k, recall=recall), 1)
+    sizes = np.zeros(tree.leaves, np.int64)                   # one number per leaf of the tree
+    for r in filed.groupBy("leaf").count().collect():
+        sizes[r["leaf"]] = r["count"]
+    first, count = blocks_of(sizes, block)
 
     def walk(batches):
+        """A row for each query and block: its leaves there."""
         for b in batches:
-            ids, v = b.column(0).to_numpy(), _vectors(b.column(1)) if b.num_rows else []
-            for a in range(0, len(ids), 256):
-                to = [tree.order(x, visits) for x in v[a:a + 256]]
+            for vec, v in zip(b.column(0).to_pylist(), _vectors(b.column(1)) if b.num_rows else []):
+                met: dict[int, list[int]] = {}
+                for at in tree.order(v, visits):
+                    for i in range(first[at], first[at] + count[at] if sizes[at] else first[at]):
+                        met.setdefault(int(i), []).append(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids[a:a + 256], [len(t) for t in to]), pa.int64()),
-                     pa.array(np.concatenate(to), pa.int32())], names=["vec_id", "leaf"])
-
-    # queries of a leaf in blocks too, each met by every block of the leaf's vectors
-    asked = cut(queries.select("vec_id", "v").mapInArrow(walk, "vec_id long, leaf int"), "visits")
-    groups = asked.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("asks"))
-    plan = cut(leaves.join(groups, "leaf"), "visit-plan")
-    asks = (asked.join(F.broadcast(plan), "leaf").withColumn("ask", F.pmod(F.xxhash64("vec_id"), "asks").cast("int"))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .join(queries, "vec_id").select("leaf", "block", "ask", "vec_id", "v"))
-    held = blocks.join(F.broadcast(plan), "leaf").withColumn(
-        "ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).select("leaf", "block", "ask", "vec_id", "v")
+                    [pa.array([vec] * len(met), pa.int64()), pa.array([v] * len(met), pa.list_(pa.float64())),
+                     pa.array(list(met), pa.int64()), pa.array(list(met.values()), pa.list_(pa.int32()))],
+                    names=["vec_id", "v", "block", "leaves"])
+
+    asked = cut(queries.select("vec_id", "v").mapInArrow(walk, "vec_id long, v array<double>, block long, leaves array<int>"),
+                "visits")
+    # queries of a block in blocks too; every block of vectors meets each of them
+    plan = cut(asked.groupBy("block").agg(F.ceil(F.count("*") / block).cast("int").alias("asks")), "visit-plan")
+    asks = asked.join(plan, "block").withColumn("ask", F.pmod(F.xxhash64("vec_id"), "asks").cast("int")).drop("asks")
+    places = spark.createDataFrame(pd.DataFrame({"leaf": np.arange(len(sizes), dtype="int32"), "first": first, "blocks": count}))
+    held = (filed.join(F.broadcast(places), "leaf")
+            .select("vec_id", "v", "leaf", (F.col("first") + F.pmod(F.xxhash64("vec_id"), "blocks")).alias("block"))
+            .join(plan, "block").withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).drop("asks"))
 
     def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         got = []
         if mine.num_rows and theirs.num_rows:
+            mine = mine.sort_by([("vec_id", "ascending")])
+            mine = mine.take(pa.array(np.argsort([x[0] for x in mine.column("leaves").to_pylist()], kind="stable")))
             ask, ids = (t.column("vec_id").to_numpy() for t in (mine, theirs))
-            got = _nearest(ids, _vectors(theirs.column("v").combine_chunks()), ask,
-                           _vectors(mine.column("v").combine_chunks()), k)
-            got = [(ask[i], vec, far) for i, vec, far, _ in got]
+            names, leaf = np.unique(theirs.column("leaf").to_numpy(), return_inverse=True)
+            visited = np.stack([np.isin(names, x) for x in mine.column("leaves").to_pylist()])
+            near = _nearest(ids, _vectors(theirs.column("v").combine_chunks()), ask,
+                            _vectors(mine.column("v").combine_chunks()), k, leaf, visited)
+            got = [(ask[i], vec, far) for i, vec, far, _ in near]
         return pa.table({"query_id": pa.array([g[0] for g in got], pa.int64()),
                          "vec_id": pa.array([g[1] for g in got], pa.int64()),
                          "score": pa.array([g[2] for g in got], pa.float64())})
 
-    keys = ["leaf", "block", "ask"]
-    found = asks.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    found = asks.groupBy("block", "ask").cogroup(held.groupBy("block", "ask")).applyInArrow(
+        meet, "query_id long, vec_id long, score double")
     return _best(found, k).select("query_id", "rank", "vec_id", "score")
