@@ -49,3 +49,13 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 def id_key(doc_id: Column) -> Column:
     """``doc_id`` as a text key that is never null."""
     return F.coalesce(doc_id.cast("string"), F.lit("null"))
+
+
+def pick(docs: DataFrame, chosen: DataFrame, sha: Column, how: str) -> DataFrame:
+    """Rows of ``docs`` joined ``how`` (``left_semi`` or ``left_anti``) with ``chosen(doc_id, text_sha256)``, all their
+    columns unchanged, whatever they are called; ``sha`` is the digest of a row's text."""
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), id_key(docs["doc_id"]).alias("id"),
+                      sha.alias("sha"))
+    of = chosen.select(id_key(F.col("doc_id")).alias("id"), F.col("text_sha256").alias("sha"))
+    found = row.join(of, ["id", "sha"], how)
+    return (found.dropDuplicates(["id", "sha"]) if how == "left_semi" else found).select("row.*")

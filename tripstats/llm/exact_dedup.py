@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripstats.llm.common import SPACE_RUN, cut, id_key
+from tripstats.llm.common import SPACE_RUN, cut, pick
 
 #: Runs merged into one per round.
 FAN_IN = 16
@@ -75,10 +75,4 @@ def keep_first(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     ``doc_id`` and equal texts, one (any column that differs between them is
     taken from one of the repeated rows).
     """
-    found = exact_dedup(docs, fan_in).where("kept").select(
-        id_key(F.col("doc_id")).alias("__id"), F.col("text_sha256").alias("__sha"))
-    return (docs.withColumns({"__id": id_key(docs["doc_id"]),
-                              "__sha": F.sha2(normalised(docs["text"]).cast("binary"), 256)})
-            .join(found, ["__id", "__sha"], "left_semi")
-            .dropDuplicates(["__id", "__sha"])          # dealt by the join already
-            .drop("__id", "__sha"))
+    return pick(docs, exact_dedup(docs, fan_in).where("kept"), F.sha2(normalised(docs["text"]).cast("binary"), 256), "left_semi")

@@ -13,11 +13,11 @@ about ``n + m log m`` points and not ``n m``.
 Bands of the signature are buckets.  In a bucket all members are compared
 with one centre, on their whole multisets, and what agrees is linked.  Where
 the other members of a bucket still lie in several components, those outside
-its largest component meet the rest in blocks of bounded size, by counts of
-hashed shingles: the sum of the smaller counts bounds the overlap from above,
-so only pairs that can reach the similarity leave a block.  These are verified
-on whole multisets, one per text and component first, then what is still
-apart.  Every bucket is settled exactly, without a cap.
+its largest component meet the rest in blocks of bounded size.  There, counts
+of hashed shingles bound each overlap from above; pairs that can reach the
+similarity are verified on whole multisets, likeliest first, unless links
+found before have joined the two already.  A block thus emits fewer links
+than it has members, and every bucket is settled exactly, without a cap.
 """
 from __future__ import annotations
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripstats.llm.common import UPPER, cut, id_key, small
+from tripstats.llm.common import UPPER, cut, id_key, pick, small
 from tripstats.llm.components import components
 
 #: Words of a shingle.
@@ -41,8 +41,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 #: Cells of the hashed counts that bound an overlap.
 CELLS = 256
-#: Members of a bucket that meet as many others in one block.
-CHUNK = 256
+#: Members of a bucket, and shingles of theirs, that meet as many others in one block.
+CHUNK, CHUNK_SHINGLES = 256, 1 << 20
 #: Points drawn together: a block of documents with about so many shingles.
 BLOCK = 200_000
 #: Bytes of texts hashed together.
@@ -231,40 +231,40 @@ def _bound_task(similarity: float):
     return run
 
 
+def overlap(a: tuple[bytes, bytes], b: tuple[bytes, bytes]) -> float:
+    """Exact weighted Jaccard similarity of two packed multisets."""
+    (x, p), (y, q) = ((np.frombuffer(i, np.uint64), np.frombuffer(c, np.int32) if c else
+                       np.ones(len(i) // 8, np.int32)) for i, c in (a, b))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    both = np.minimum(p[i], q[j]).sum(dtype=np.int64)
+    every = p.sum(dtype=np.int64) + q.sum(dtype=np.int64) - both
+    return float(both / every) if every else 0.0
+
+
 def _block_task(similarity: float):
-    """Pairs of different components in one block whose cells allow the similarity."""
+    """Links that join the components of one block: verified pairs, at most one less than there are members."""
     def run(block: pa.Table) -> pa.Table:
         first = block.column("first").to_numpy(zero_copy_only=False)
-        key = block.column("key").to_pylist()
+        key, items, counts = (block.column(c).to_pylist() for c in ("key", "items", "counts"))
         root = np.unique(np.array([r.hex() for r in block.column("root").to_pylist()]), return_inverse=True)[1]
         cells, size = _cells(block.column("cells").combine_chunks()), block.column("size").to_numpy()
         # a block of two chunks pairs the first with the second, a block of one pairs all its members
-        left = np.flatnonzero(first) if not first.all() else np.arange(len(first))
-        a, b, most = [], [], []
+        left, pairs = np.flatnonzero(first) if not first.all() else np.arange(len(first)), []
         for i in left:
             j = np.flatnonzero(~first) if not first.all() else np.arange(i + 1, len(first))
             j = j[(root[j] != root[i]) & (np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]))]
             up = bounds(cells[i], size[i], cells[j], size[j])
-            for k, u in zip(j[up >= similarity], up[up >= similarity]):
-                lo, hi = sorted((i, k), key=lambda r: key[r])
-                a.append(key[lo])
-                b.append(key[hi])
-                most.append(float(u))
-        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(most, pa.float64())],
-                        ["a", "b", "most"])
+            pairs.append(np.stack([np.full(len(j), i), j, up], axis=1)[up >= similarity])
+        pairs = np.concatenate(pairs) if pairs else np.zeros((0, 3))
+        links = []
+        for i, j in pairs[np.lexsort((pairs[:, 1], pairs[:, 0], -pairs[:, 2])), :2].astype(int).tolist():
+            if root[i] != root[j] and overlap((items[i], counts[i]), (items[j], counts[j])) >= similarity:
+                links.append(sorted((key[i], key[j])))
+                root[root == root[j]] = root[i]
+        return pa.table([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
     return run
 
 
-def overlap(a: tuple[bytes, bytes], b: tuple[bytes, bytes]) -> float:
-    """Exact weighted Jaccard similarity of two packed multisets."""
-    (x, p), (y, q) = ((np.frombuffer(i, np.uint64), np.frombuffer(c, np.int32) if c else
-                       np.ones(len(i) // 8, np.int32)) for i, c in (a, b))
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    both = np.minimum(p[i], q[j]).sum(dtype=np.int64)
-    every = p.sum(dtype=np.int64) + q.sum(dtype=np.int64) - both
-    return float(both / every) if every else 0.0
-
-
 def _verify_task(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,21 +276,23 @@ def _verify_task(similarity: float):
 
 
 def apart(labelled: DataFrame, full: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs ``(a, b, most)`` of a bucket that lie in different components and may be similar.
+    """Verified links ``(a, b)`` between different components of a bucket.
 
-    ``labelled`` is ``(bucket, key, root)``; the centres of ``full`` have met
+    ``labelled`` is ``(bucket, key, size, root)``; the centres of ``full`` have met
     their buckets.  Members outside the largest component of a bucket meet
     each other and its members, chunk by chunk.
     """
     met = full.select("bucket", F.col("centre.key").alias("key"))
     open_ = cut(labelled.join(met, ["bucket", "key"], "left_anti"), "open")
-    parts = open_.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mixed = (parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"),
-                                         F.count("*").alias("parts"))
-             .where("parts > 1").select(
-        "bucket", F.col("main.root").alias("main_root"),
-        F.ceil(F.col("main.n") / CHUNK).cast("int").alias("mains"),
-        F.ceil((F.col("n") - F.col("main.n")) / CHUNK).cast("int").alias("others")))
+    parts = open_.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "root", "size")).alias("main"), F.sum("n").alias("n"),
+                                        F.sum("size").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+
+    def chunks(n, size):
+        return F.greatest(F.ceil(n / CHUNK), F.ceil(size / CHUNK_SHINGLES)).cast("int")
+
+    mixed = mixed.select("bucket", F.col("main.root").alias("main_root"), chunks(F.col("main.n"), F.col("main.size")).alias("mains"),
+                         chunks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("others"))
     spot = F.xxhash64("key")
     rows = open_.join(mixed, "bucket").withColumn("is_main", F.col("root") == F.col("main_root"))
     rows = rows.withColumn("chunk", F.pmod(spot, F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))))
@@ -302,12 +304,10 @@ def apart(labelled: DataFrame, full: DataFrame, sets: DataFrame, similarity: flo
     with_rest = F.transform(to(F.col("others")), lambda j: block(
         F.least(chunk, j), F.greatest(chunk, j), "rest", chunk <= j))
     as_main = F.transform(to(F.col("others")), lambda i: block(i, chunk, "main", F.lit(False)))
-    placed = rows.select("bucket", "key", "root", F.inline(
+    placed = rows.drop("size").select("bucket", "key", "root", F.inline(
         F.when(F.col("is_main"), as_main).otherwise(F.concat(with_main, with_rest))))
-    found = (placed.join(sets.select("key", "size", "cells"), "key")
-             .groupBy("bucket", "kind", "x", "y").applyInArrow(
-                 _block_task(similarity), "a binary, b binary, most double"))
-    return found.groupBy("a", "b").agg(F.max("most").alias("most"))
+    return (placed.join(sets.select("key", "size", "cells", "items", "counts"), "key")
+            .groupBy("bucket", "kind", "x", "y").applyInArrow(_block_task(similarity), "a binary, b binary"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -369,24 +369,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     star = cut(both(star, ["cells", "size"]).mapInArrow(_bound_task(similarity), "a binary, b binary"), "star")
     links = cut(links_of(star), "near-links")
 
-    roots = components(links)
-    pairs = cut(apart(label(members.select("bucket", "key"), roots), full, sets, similarity), "near-pairs")
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    named = cut(label(ends, roots), "near-roots")
-    # the likeliest pair of a text and a component first; of the others only what is still apart
-    likely = F.max_by(F.struct("a", "b"), F.struct("most", "a", "b"))
-    met = (pairs.join(named.withColumnsRenamed({"key": "a", "root": "root_a"}), "a")
-           .join(named.withColumnsRenamed({"key": "b", "root": "root_b"}), "b"))
-    best = (met.groupBy("a", "root_b").agg(likely.alias("p")).select("p.a", "p.b")
-            .union(met.groupBy("b", "root_a").agg(likely.alias("p")).select("p.a", "p.b")).distinct())
-    best = cut(best, "near-best")
-    links = cut(links.union(links_of(best)), "near-links")
-    named = cut(label(ends, components(links)), "near-roots")
-    rest = (pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
-            .join(named.withColumnsRenamed({"key": "a", "root": "root_a"}), "a")
-            .join(named.withColumnsRenamed({"key": "b", "root": "root_b"}), "b").where("root_a != root_b"))
-    links = cut(links.union(links_of(rest)), "near-links")
-    roots = components(links).select(F.col("node").alias("key"), "root")
+    between = cut(apart(label(members, components(links)), full, sets, similarity), "near-links")
+    roots = components(links.union(between)).select(F.col("node").alias("key"), "root")
 
     named = nodes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = named.groupBy("root").agg(F.min("first").alias("head"), F.sum("n").alias("class_size"))
@@ -401,8 +385,5 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """One document of each class, all its columns unchanged (of rows repeated with equal id and text, one)."""
-    keep = near_duplicates(docs, similarity, shingle).where("kept").select(
-        id_key(F.col("doc_id")).alias("__id"), F.col("text_sha256").alias("__sha"))
     sha = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
-    return (docs.withColumns({"__id": id_key(docs["doc_id"]), "__sha": sha})
-            .join(keep, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).drop("__id", "__sha"))
+    return pick(docs, near_duplicates(docs, similarity, shingle).where("kept"), sha, "left_semi")
