@@ -2,12 +2,14 @@
 
 A text becomes counts of its byte pairs (folded to ``TERMS`` terms) and of a
 few shape terms (repetition, symbols, word length).  Counts are damped,
-weighted by inverse document frequency and projected to ``RANK`` latent
-dimensions found by a singular value decomposition of the labelled sample.
+weighted by inverse document frequency, counted over all documents, and
+projected to ``RANK`` latent dimensions found by a singular value
+decomposition of the labelled sample.
 The sample's vectors are the model: at most ``SAMPLE`` of them, so what is
 broadcast has a fixed bound.  Every document is compared with *all* of them,
-in blocks, as exact cosine products, and its nearest ``NEIGHBOURS`` vote with
-their similarity as weight.
+in blocks, as exact cosine products, and its nearest ``NEIGHBOURS`` (and all
+that are as near as the last of them, to five decimals) vote with their
+similarity as weight.
 """
 from __future__ import annotations
 
@@ -61,6 +63,24 @@ def terms(text: bytes) -> np.ndarray:
     return out
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a task's documents hold each term, and how many there are (term -1)."""
+    held, n = np.zeros(TERMS + SHAPES, np.int64), 0
+    for batch in batches:
+        for t in batch.column("text"):
+            held += terms((t.as_py() or "").encode()) > 0
+            n += 1
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(held)), pa.int32()),
+                                      pa.array(np.concatenate([[n], held]), pa.int64())], ["term", "n"])
+
+
+def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of documents, and of those that hold each term: one row per term and task, summed by Spark."""
+    found = docs.select("text").mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    n = {r["term"]: r["n"] for r in found.collect()}
+    return n.get(-1, 0), np.array([n.get(i, 0) for i in range(TERMS + SHAPES)])
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         packed = [terms((t.as_py() or "").encode()).tobytes() for t in batch.column("text")]
@@ -89,10 +109,11 @@ class Model:
         for i in range(0, len(x), BLOCK):
             z = self.latent(x[i:i + BLOCK])
             cos = z @ self.sample.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(cos, near, axis=1), 0).astype(float) ** SHARPNESS
+            cos = np.round(cos, 5)
+            last = np.partition(cos, len(self.label) - k, axis=1)[:, len(self.label) - k, None]
+            w = np.where(cos >= last, np.maximum(cos, 0), 0).astype(float) ** SHARPNESS
             total = w.sum(axis=1)
-            vote = (w * self.label[near]).sum(axis=1)
+            vote = w @ self.label
             out[i:i + BLOCK] = np.where(total > 0, vote / np.where(total > 0, total, 1), self.prior)
         return np.clip(out, 0.0, 1.0)
 
@@ -100,21 +121,24 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from at most ``sample`` labelled rows of the learning folds.
 
-    The driver holds ``sample`` vectors of ``TERMS + SHAPES`` numbers.
+    The driver holds ``sample`` vectors of ``TERMS + SHAPES`` numbers.  Of an
+    id on several rows of ``docs`` the smallest text is learnt from.
     """
     ids = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() &
                        (remainder(F.col("doc_id"), FOLDS) != 0)).select("doc_id", F.col("quality").cast("int"))
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")
-            .mapInArrow(_vectors, "quality int, vector binary").limit(4 * sample).collect())
+    texts = (docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
+             .groupBy("doc_id").agg(F.min("text").alias("text")))
+    rows = (texts.join(F.broadcast(chosen), "doc_id").select("quality", "text")
+            .mapInArrow(_vectors, "quality int, vector binary").collect())
     if not rows:
         return Model(np.zeros(TERMS + SHAPES, np.float32), np.zeros((TERMS + SHAPES, 1), np.float32),
                      np.zeros((0, 1), np.float32), np.zeros(0))
     rows.sort(key=lambda r: (bytes(r["vector"]), r["quality"]))           # the order rows arrive in differs
     x = np.frombuffer(b"".join(bytes(r["vector"]) for r in rows), np.float32).reshape(len(rows), -1)
     y = np.array([r["quality"] for r in rows], float)
-    df = (x > 0).sum(axis=0)
-    weight = (np.log((1 + len(x)) / (1 + df)) + 1).astype(np.float32)
+    n, df = frequencies(docs)
+    weight = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     xw = (x * weight).astype(np.float64)
     _, vectors = np.linalg.eigh(xw.T @ xw)                                # right singular vectors
     basis = vectors[:, ::-1][:, :min(RANK, len(x), vectors.shape[1])].astype(np.float32)
@@ -152,7 +176,11 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, all their columns unchanged."""
+    """The rows of ``docs`` that score at least ``threshold``, all their columns unchanged.
+
+    Null, empty and wordless texts score the sample's share of label 1;
+    repeated rows are judged each; no rows give no rows.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = _score_batch(model, batch.column(batch.schema.get_field_index("text"))) >= threshold
