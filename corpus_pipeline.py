@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripstats.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
-from tripstats.llm.common import cut, id_key, table
+from tripstats.llm.common import cut, pick, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated with benchmark text."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    bad = found.select(id_key(F.col("doc_id")).alias("__id"), F.col("text_sha256").alias("__sha"))
-    sha = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
-    return (docs.withColumns({"__id": id_key(docs["doc_id"]), "__sha": sha})
-            .join(bad, ["__id", "__sha"], "left_anti").drop("__id", "__sha"))
+    return pick(docs, found, F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256), "left_anti")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
