@@ -100,13 +100,15 @@ def grams(text: bytes) -> np.ndarray:
     return code
 
 
-def distinct(parts: Iterator[np.ndarray], step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def distinct(parts: Iterator[np.ndarray], step: int = 1 << 24) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values with counts, from many short arrays, in bounded memory."""
     keys, counts, held, n = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
     def merge():
-        u, c = np.unique(np.concatenate(held), return_counts=True)
-        return summed(np.concatenate([keys, u]), np.concatenate([counts, c]))
+        x = np.sort(np.concatenate(held))
+        at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        u, c = x[at], np.diff(at, append=len(x))
+        return summed(np.concatenate([keys, u]), np.concatenate([counts, c])) if len(keys) else (u, c)
     for p in parts:
         held.append(p)
         n += len(p)
@@ -138,11 +140,49 @@ def asked(rows: list[tuple], count: bool = True):
     names = list(every)
     keys = np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64).view(np.int64)
     words = summed(keys, np.array([train[w] for w in names], np.int64))
-    all_grams, _ = distinct(grams(b) for _, _, b in rows)
-    some, n = distinct(grams(b) for _, held, b in rows if count and not held)
-    counts = np.zeros(len(all_grams), np.int64)
-    counts[np.searchsorted(all_grams, some)] = n
-    return words, (all_grams, counts)
+    if not count:
+        every_gram, _ = distinct(grams(b) for _, _, b in rows)
+        return words, (every_gram, np.zeros(len(every_gram), np.int64))
+    some, n = distinct(grams(b) for _, held, b in rows if not held)
+    every_gram = np.union1d(some, distinct(grams(b) for _, held, b in rows if held)[0])
+    counts = np.zeros(len(every_gram), np.int64)
+    counts[np.searchsorted(every_gram, some)] = n
+    return words, (every_gram, counts)
+
+
+#: Byte strings added up at once; their places take the bits that a string's number leaves free.
+PIECE = 1 << 16
+
+
+def totals(texts: list[bytes], codes: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Sum of ``p`` over the byte strings of each text; ``codes`` are all strings, sorted.
+
+    A piece of strings is sorted with its places, so that equal strings are
+    looked up once and in order.
+    """
+    out, held, owner, n = np.zeros(len(texts)), [], [], 0
+
+    def add():
+        g, of = np.concatenate(held), np.concatenate(owner)
+        for a in range(0, len(g), PIECE):
+            part = g[a:a + PIECE]
+            placed = np.sort(part.view(np.uint64) << np.uint64(16) | np.arange(len(part), dtype=np.uint64))
+            code = (placed >> np.uint64(16)).view(np.int64)
+            at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            value = np.empty(len(part))
+            value[(placed & np.uint64(PIECE - 1)).view(np.int64)] = np.repeat(
+                p[np.searchsorted(codes, code[at])], np.diff(at, append=len(code)))
+            out[:] += np.bincount(of[a:a + PIECE], value, len(texts))
+    for i, b in enumerate(texts):
+        held.append(grams(b))
+        owner.append(np.full(len(held[-1]), i))
+        n += len(held[-1])
+        if n >= 16 * PIECE:
+            add()
+            held, owner, n = [], [], 0
+    if held:
+        add()
+    return out
 
 
 def bucket_of(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -151,14 +191,21 @@ def bucket_of(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
+def by_bucket(kind: int, keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that has keys, with their places in order."""
+    b = bucket_of(kind, keys, buckets).astype(np.min_scalar_type(buckets))
+    order = np.argsort(b, kind="stable")
+    names, start = np.unique(b[order], return_index=True)
+    return zip(names.tolist(), np.split(order, start[1:]))
+
+
 def _ask_task(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, blob in zip(batch.column("block"), batch.column("blob")):
                 for kind, (keys, counts) in enumerate(asked(unpack(blob.as_py()))):
-                    b = bucket_of(kind, keys, buckets)
-                    out = [(int(i), block.as_py(), kind, press(keys[m], True), press(counts[m]), int(counts[m].sum()))
-                           for i in np.unique(b) for m in [b == i]]
+                    out = [(i, block.as_py(), kind, press(keys[m], True), press(counts[m]), int(counts[m].sum()))
+                           for i, m in by_bucket(kind, keys, buckets)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary(),
                                                                     pa.binary(), pa.int64()))],
@@ -208,12 +255,18 @@ def tree(keys: np.ndarray, counts: np.ndarray):
     return levels, (node, zero, one, below)
 
 
-def _merged(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    mine = [i for i, k in enumerate(table.column("kind").to_pylist()) if k == kind]
-    keys = [expand(table.column("keys")[i].as_py(), np.int64, True) for i in mine]
-    counts = [expand(table.column("counts")[i].as_py(), np.int64) for i in mine]
-    empty = [np.zeros(0, np.int64)]
-    return summed(np.concatenate(keys or empty), np.concatenate(counts or empty))
+def _merged(table: pa.Table, kind: int, step: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all blocks with their counts, added up as soon as ``step`` entries are expanded."""
+    keys, counts, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for i, k in enumerate(table.column("kind").to_pylist()):
+        if k == kind:
+            keys.append(expand(table.column("keys")[i].as_py(), np.int64, True))
+            counts.append(expand(table.column("counts")[i].as_py(), np.int64))
+            n += len(keys[-1])
+            if n >= max(step, 2 * len(keys[0])):
+                x, c = summed(np.concatenate(keys), np.concatenate(counts))
+                keys, counts, n = [x], [c], len(x)
+    return summed(np.concatenate(keys), np.concatenate(counts))
 
 
 def _top_task(table: pa.Table) -> pa.Table:
@@ -284,21 +337,20 @@ def _score_task(buckets: int):
             answers = {(k, b): a for k, b, a in zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "answer")))}
             value = []
             for kind, (keys, _) in enumerate(asked(rows, count=False)):
-                b, v = bucket_of(kind, keys, buckets), np.zeros(len(keys))
-                for i in np.unique(b):
-                    v[b == i] = expand(answers[kind, int(i)], np.int64 if kind == WORDS else np.float32)
+                v = np.zeros(len(keys))
+                for i, m in by_bucket(kind, keys, buckets):
+                    v[m] = expand(answers[kind, i], np.int64 if kind == WORDS else np.float32)
                 value.append((keys, v))
             (words, count), (codes, p) = value
             logs = np.log10(count + 0.1)
             names = list({w for _, _, b in rows for w in b.split()} | {b""})
             at = np.searchsorted(words, np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64).view(np.int64))
             index = dict(zip(names, at.tolist()))
-            for doc, held, b in rows:
+            for (doc, held, b), coded in zip(rows, totals([b for _, _, b in rows], codes, p).tolist()):
                 w = b.split()
                 i = np.fromiter(map(index.__getitem__, [*w, b""]), np.int64, len(w) + 1)
-                out.append((doc, held, len(i), int((count[i] > 0).sum()), float(logs[i].sum()),
-                            float(p[np.searchsorted(codes, grams(b))].sum()), len(b)))
-        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+                out.append((doc, held, len(i), int((count[i] > 0).sum()), float(logs[i].sum()), coded, len(b)))
+        types = (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
         cols = list(zip(*out)) if out else [()] * 7
         return pa.table([pa.array(c, t) for c, t in zip(cols, types)],
                         names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "n_bytes"])
@@ -319,7 +371,8 @@ def score(docs: DataFrame) -> DataFrame:
     out.  Repeated rows count and are scored each.  Without training rows
     every bit has probability 1/2.  An empty table gives an empty result.
     """
-    blocks = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"),
+    kind = dict(docs.dtypes)["doc_id"]
+    blocks = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string"),
                              (remainder(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "text")
                  .mapInArrow(_pack_task, "block long, blob binary"), "blocks")
     n_blocks = blocks.count()
@@ -336,11 +389,11 @@ def score(docs: DataFrame) -> DataFrame:
     answers = asks.drop("n").groupBy("bucket").applyInArrow(
         _answer_task(levels), "block long, bucket long, kind int, v long, answer binary")
     scored = cut(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _score_task(buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, "
+        _score_task(buckets), "doc_id string, held_out boolean, n_tokens long, n_known long, logs double, score double, "
         "n_bytes long"), "scores")
     kinds = scored.where("n_tokens is null").agg(F.sum("n_known")).first()[0] or 0
     scored = scored.where("n_tokens is not null")
     smooth = math.log10(total + 0.1 * (kinds + 1))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+    return scored.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                          (F.col("logs") - F.col("n_tokens") * F.lit(smooth)).alias("base_score"), "score",
                          (-F.col("score") / math.log10(2) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
