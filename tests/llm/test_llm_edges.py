@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tripstats.llm import (chaining, ctw, decontaminate, exact_dedup, licenses, mixing, near_dedup, quality,
                            suffix_dedup, warc)
@@ -51,7 +52,9 @@ def test_awkward_rows_give_a_row_each_and_none_give_none(spark, awkward, name):
 
 def test_awkward_rows_of_the_filters(awkward):
     for keep in (exact_dedup.keep_first, near_dedup.keep_one):
+        awkward = awkward.withColumnsRenamed({"row": "__id", "key": "__sha"})
         got = keep(awkward)
+        assert {r["__sha"] for r in got.collect()} <= {"k", None}
         assert got.columns == awkward.columns
         kept = [r["doc_id"] for r in got.select("doc_id").collect()]
         assert 1 in kept and 5 not in kept and 7 in kept and len(kept) == len(set(kept))
@@ -91,6 +94,31 @@ def test_archives_round_trip(spark):
     assert all(r["digest_so_far"] == r["payload_digest"] for r in got if r["last"] and r["record_type"] == "response")
 
 
+def test_archives_of_text_ids_repeated_rows_and_none(spark):
+    """Ids of any text; of equal payloads the smallest id is the response, on each of its rows."""
+    same, rows = "s" * 5000, [("b: 1\r\n", "s" * 5000), ("a/é", "s" * 5000), ("a/é", "s" * 5000), ("", "t" * 300), (None, "t" * 300),
+                              ("c", None), ("c", "u" * 3000)]
+    df = spark.createDataFrame([(i, h, 5, "x") for i, h in rows], "page_id string, html string, row int, again string")
+    got = warc.archive_pages(df, chunk=1000, with_data=True)
+    assert dict(got.dtypes)["page_id"] == dict(got.dtypes)["refers_to"] == "string"
+    last = sorted((str(r["page_id"]), r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got.where("last").collect())
+    assert last == sorted([("b: 1\r\n", "revisit", "a/é", 5000), *[("a/é", "response", None, 5000)] * 2, ("", "response", None, 300),
+                           ("None", "revisit", "", 300), ("c", "response", None, 0), ("c", "response", None, 3000)])
+    data = got.where(F.col("page_id") == "a/é").orderBy("chunk_no").collect()
+    assert [r["chunk_no"] for r in data] == [n for n in range(5) for _ in range(2)]
+    assert b"".join(bytes(r["chunk"]) for r in data[::2]).decode() == same
+    assert warc.archive_pages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["suffix", "suffix first", "ctw", "exact", "mix"])
+def test_text_ids(spark, awkward, name):
+    named = awkward.withColumn("doc_id", F.concat(F.lit("id-"), F.col("doc_id").cast("string")))
+    got = PER_ROW[name](named)
+    assert dict(got.dtypes)["doc_id"] == "string"
+    ids = collections.Counter(r["doc_id"] for r in got.collect())
+    assert ids == collections.Counter(None if r[6] is None else f"id-{r[6]}" for r in ROWS)
+
+
 @pytest.mark.parametrize("keep_first", [False, True])
 def test_repeated_strings_against_brute_force(spark, keep_first):
     rnd, length = random.Random(5), 100

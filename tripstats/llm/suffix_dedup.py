@@ -155,7 +155,7 @@ def _sort_windows(spans: list[tuple], length: int, keep_first: bool):
     return out
 
 
-FOUND = "text long, start int, end int, anchor long, digest binary, doc_id long, no_id boolean"
+FOUND = "text long, start int, end int, anchor long, digest binary, doc_id {}, no_id boolean"
 
 
 def _suffix_task(length: int, keep_first: bool):
@@ -172,6 +172,7 @@ def _suffix_task(length: int, keep_first: bool):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, types)], names)
 
         for batch in batches:
+            types[5] = batch.schema.field("doc_id").type
             for r in batch.to_pylist():
                 if (r["anchor"], r["chunk"]) != last:
                     if count >= BATCH:
@@ -252,8 +253,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     if length < 2 * ANCHOR:
         raise ValueError(f"length must be at least {2 * ANCHOR}")
     text = F.col("text").cast("binary").alias("text")
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), text).mapInArrow(
-        _parse_task(length), "row long, doc_id long, key binary, n_bytes long, sha256 string, anchors array<long>, "
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text).mapInArrow(
+        _parse_task(length), f"row long, doc_id {kind}, key binary, n_bytes long, sha256 string, anchors array<long>, "
         "spans array<long>, firsts array<int>, lasts array<int>"), "runs")
     id_order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     texts = cut(rows.groupBy("key").agg(F.min(id_order).alias("first"), F.count("*").alias("copies"),
@@ -282,7 +284,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     # the texts that matter, once each; all later steps read this part only
     keys = cut(near.select("row").distinct().join(texts.select("key", F.col("first.row").alias("row"),
                                                                F.col("first.doc_id").alias("first_id")), "row"), "keys")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+    source = docs.select("doc_id",
                          F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     source = (source.withColumn("key", F.unhex(F.md5("text"))).join(small(keys, keys.count(), 64), "key")
               .where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("row", "doc_id", "text"))
@@ -301,7 +303,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
               .withColumnRenamed("text_id", "text"))
     # rows repeated with the same id and text bring the same piece again: one stays
     pieces = pieces.repartition("anchor", "chunk").dropDuplicates(["anchor", "chunk", "text", "first"])
-    found = cut(pieces.sortWithinPartitions("anchor", "chunk").mapInArrow(_suffix_task(length, keep_first), FOUND),
+    found = cut(pieces.sortWithinPartitions("anchor", "chunk").mapInArrow(
+        _suffix_task(length, keep_first), FOUND.format(kind)),
                 "factors")
     local = found.where("digest is null").select("text", "start", "end")
 
