@@ -1,7 +1,7 @@
 """License scan by diagonal voting.
 
 Every 3-word run of every document meets the runs of the license templates
-in a Spark join (hash first, then the words themselves).  A match at document
+(notices, grants and openings) in a Spark join.  A match at document
 word ``p`` and template word ``t`` votes for diagonal ``p - t``.  Votes are
 summed per diagonal; neighbouring diagonals (a word inserted or lost moves
 the rest of a text to the next one) are merged; a merged span is verified by
@@ -20,8 +20,25 @@ BASE = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# Openings of public license notices, lower-cased words.
+# Openings, grants and usual short notices of public licenses, lower-cased words.
 TEMPLATES = {
+    "licensed under the gnu general public license": "gpl",
+    "distributed under the terms of the gnu general public license": "gpl",
+    "you should have received a copy of the gnu general public license along with this program": "gpl",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied "
+    "warranty of merchantability or fitness for a particular purpose": "gpl",
+    "licensed under the gnu lesser general public license": "lgpl",
+    "licensed under the gnu affero general public license": "agpl",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+    "the software": "mit",
+    "this software is released under the mit license": "mit",
+    "licensed under the bsd 3 clause license": "bsd",
+    "use of this source code is governed by a bsd style license": "bsd",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on "
+    "an as is basis": "apache-2",
+    "licensed under the mozilla public license version 2 0": "mpl-2",
+    "this work is licensed under the creative commons attribution license": "cc-by",
+    "dedicated to the public domain under the creative commons cc0 1 0 universal public domain dedication": "cc0",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and "
     "associated documentation files": "mit",
     "released under the terms of the mit license": "mit",
