@@ -1,8 +1,10 @@
 """WARC archives through a chunked record table.
 
-A payload is never handled whole outside the scan: it becomes rows
-``(record, chunk_no, bytes)``, the writer streams those rows into archive
-files, and the reader streams the files back into rows, each carrying the
+A payload is whole only in the task that reads it from the pages: there it is
+hashed, and there it becomes rows ``(record, chunk_no, bytes)``, a chunk
+number and one slice at a time.  Which records revisit another is decided on
+ids, digests and sizes alone; only these narrow rows and the chunk rows are
+ever dealt between tasks.  The writer streams the chunks into archive files, and the reader streams the files back into rows, each carrying the
 SHA-256 of the payload up to that chunk.  The last chunk's digest is the
 payload's and is held against the digest that the record's header declares.
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripstats.llm.common import cut
+from tripstats.llm.common import cut, id_key
 from tripstats.session import new_scratch
 
 #: Bytes of payload per chunk row.
@@ -34,30 +36,41 @@ VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def plan_records(pages: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
-    """``(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to)``."""
-    p = pages.select(F.col("page_id"),
+def payloads(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, payload, payload_bytes, payload_digest)``; ids as text."""
+    p = pages.select(F.col("page_id").cast("string").alias("page_id"),
                      (F.col("url") if "url" in pages.columns else F.lit(None)).cast("string").alias("url"),
                      F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    p = p.withColumns({"payload_digest": F.sha2("payload", 256),
-                       "payload_bytes": F.octet_length("payload").cast("long")})
-    order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id")
-    firsts = cut(p.groupBy("payload_digest").agg(F.min(order).alias("first")), "payload-firsts")
-    shared = (F.col("payload_bytes") >= min_shared) & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
-    return (p.join(firsts, "payload_digest")
-            .select("page_id", "url", F.when(~shared, F.col("payload")).alias("payload"), "payload_bytes",
-                    "payload_digest", F.when(shared, "revisit").otherwise("response").alias("record_type"),
-                    F.when(shared, F.col("first.page_id")).alias("refers_to")))
-
-
-def chunk_rows(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row per ``chunk`` bytes of payload, at least one per record; the
+    return p.withColumns({"payload_digest": F.sha2("payload", 256),
+                          "payload_bytes": F.octet_length("payload").cast("long")})
+
+
+def revisits(pages: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
+    """``(id, payload_digest, refers_to)`` of the records that revisit another, from ids, digests and sizes alone."""
+    html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
+    narrow = pages.select("page_id", F.sha2(html, 256).alias("payload_digest"), F.octet_length(html).alias("n"))
+    narrow = cut(narrow.where(F.col("n") >= min_shared).select("page_id", "payload_digest").distinct(), "payloads")
+    first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id")).alias("first")
+    firsts = narrow.groupBy("payload_digest").agg(first, F.count("*").alias("n")).where("n > 1")
+    return cut(narrow.join(firsts, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+               .select(id_key(F.col("page_id")).alias("id"), "payload_digest",
+                       F.col("first.page_id").cast("string").alias("refers_to")), "revisits")
+
+
+def chunk_rows(pages: DataFrame, chunk: int = CHUNK, min_shared: int = MIN_SHARED) -> DataFrame:
+    """One row per ``chunk`` bytes of payload, at least one per record (one without bytes for a revisit); the
     chunks of a record stay together and in order."""
-    n = F.greatest(F.ceil(F.octet_length("payload") / chunk), F.lit(1)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1),
-                        lambda i: F.substring(F.col("payload"), i * chunk + 1, F.lit(chunk)))
-    keep = [c for c in records.columns if c != "payload"]
-    return records.select(*keep, F.posexplode(parts).alias("chunk_no", "chunk"))
+    last = F.greatest(F.ceil(F.col("payload_bytes") / chunk) - 1, F.lit(0)).cast("int")
+    keep = ["page_id", "url", "payload_bytes", "payload_digest"]
+    pieces = (payloads(pages).withColumn("row", F.monotonically_increasing_id())
+              .select(*keep, "row", "payload", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+              .select(*keep, "row", "chunk_no", id_key(F.col("page_id")).alias("id"),
+                      F.substring(F.col("payload"), F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("chunk")))
+    again = revisits(pages, min_shared).withColumn("again", F.lit(True))
+    joined = pieces.join(again, ["id", "payload_digest"], "left").where(F.col("again").isNull() | (F.col("chunk_no") == 0))
+    return (joined.select(*keep, F.when(F.col("again"), "revisit").otherwise("response").alias("record_type"), "refers_to",
+                          "row", "chunk_no", F.when(F.col("again").isNull(), F.col("chunk")).alias("chunk"))
+            .sortWithinPartitions("row", "chunk_no").drop("row"))
 
 
 def _filesystem(root: str):
@@ -75,14 +88,14 @@ def _header(r: dict) -> bytes:
              f"WARC-Target-URI: {url}".encode(),
              b"WARC-Date: 1970-01-01T00:00:00Z",
              f"WARC-Payload-Digest: sha256:{r['payload_digest']}".encode(),
-             f"Page-Id: {'' if r['page_id'] is None else r['page_id']}".encode(),
+             *([] if r["page_id"] is None else [f"Page-Id: {quote(r['page_id'], safe='')}".encode()]),
              f"Payload-Length: {r['payload_bytes']}".encode(),
              b"Content-Type: text/html; charset=utf-8",
              f"Content-Length: {0 if revisit else r['payload_bytes']}".encode()]
     if revisit:
         lines += [f"WARC-Profile: {REVISIT_PROFILE}".encode(),
                   f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, str(r['refers_to']))}>".encode(),
-                  f"Refers-To-Page: {r['refers_to']}".encode()]
+                  f"Refers-To-Page: {quote(r['refers_to'], safe='')}".encode()]
     return b"\r\n".join(lines) + b"\r\n\r\n"
 
 
@@ -115,9 +128,9 @@ def _writer(root: str):
     return write
 
 
-def write_archives(records: DataFrame, root: str, chunk: int = CHUNK) -> DataFrame:
-    """Write ``records`` (see :func:`plan_records`) below ``root``; the manifest ``(file, records)``."""
-    return cut(chunk_rows(records, chunk).mapInArrow(_writer(root), "file string, records long"), "manifest")
+def write_archives(chunks: DataFrame, root: str) -> DataFrame:
+    """Write records (see :func:`chunk_rows`) below ``root``; the manifest ``(file, records)``."""
+    return cut(chunks.mapInArrow(_writer(root), "file string, records long"), "manifest")
 
 
 class _Member:
@@ -156,13 +169,14 @@ class _Member:
         return out
 
 
-READ = ("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
+READ = ("page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, "
         "chunk_no int, last boolean, digest_so_far string, chunk binary")
 
 
 def _reader(root: str, chunk: int, with_data: bool):
-    fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-              ("record_type", pa.string()), ("refers_to", pa.int64()), ("chunk_no", pa.int32()),
+    from urllib.parse import unquote
+    fields = [("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+              ("record_type", pa.string()), ("refers_to", pa.string()), ("chunk_no", pa.int32()),
               ("last", pa.bool_()), ("digest_so_far", pa.string()), ("chunk", pa.binary())]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +196,7 @@ def _reader(root: str, chunk: int, with_data: bool):
                             raise ValueError(f"{name}: not a WARC record: {lines[0][:40]!r}")
                         h = dict(x.decode().split(": ", 1) for x in lines[1:])
                         left, no, sha = int(h["Content-Length"]), 0, hashlib.sha256()
-                        page = int(h["Page-Id"]) if h["Page-Id"] else None
-                        to = int(h["Refers-To-Page"]) if "Refers-To-Page" in h else None
+                        page, to = (unquote(h[k]) if k in h else None for k in ("Page-Id", "Refers-To-Page"))
                         declared = h["WARC-Payload-Digest"].removeprefix("sha256:")
                         while True:
                             piece = m.take(min(left, chunk))
@@ -206,8 +219,9 @@ def _reader(root: str, chunk: int, with_data: bool):
     return read
 
 
-def read_archives(manifest: DataFrame, root: str, chunk: int = CHUNK, with_data: bool = True) -> DataFrame:
-    """The chunked record table of the archives that ``manifest`` names.
+def read_archives(manifest: DataFrame, root: str, chunk: int = CHUNK, with_data: bool = True,
+                  id_type: str = "long") -> DataFrame:
+    """The chunked record table of the archives that ``manifest`` names; ids, text in the archives, as ``id_type``.
 
     One row per chunk: the record's header fields, ``chunk_no``, ``last``,
     ``digest_so_far`` (SHA-256 of the payload up to here) and the bytes
@@ -216,7 +230,8 @@ def read_archives(manifest: DataFrame, root: str, chunk: int = CHUNK, with_data:
     """
     files = manifest.select("file")
     # a task per file: by bytes the manifest is so small that it would all go to one task
-    return files.repartition(max(1, files.count()), "file").mapInArrow(_reader(root, chunk, with_data), READ)
+    rows = files.repartition(max(1, files.count()), "file").mapInArrow(_reader(root, chunk, with_data), READ)
+    return rows.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def archive_pages(pages: DataFrame, chunk: int = CHUNK, min_shared: int = MIN_SHARED,
@@ -229,5 +244,5 @@ def archive_pages(pages: DataFrame, chunk: int = CHUNK, min_shared: int = MIN_SH
     each a response.  Other columns are ignored; no pages give no rows.
     """
     root = new_scratch(pages.sparkSession, "warc")
-    manifest = write_archives(plan_records(pages, min_shared), root, chunk)
-    return read_archives(manifest, root, chunk, with_data)
+    manifest = write_archives(chunk_rows(pages, chunk, min_shared), root)
+    return read_archives(manifest, root, chunk, with_data, dict(pages.dtypes)["page_id"])
