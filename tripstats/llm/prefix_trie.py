@@ -201,17 +201,16 @@ def build(rows: DataFrame, container: int = CONTAINER) -> DataFrame:
     reps = representatives(rows)
     turns = cut(rows.join(reps, rows["conv_id"] == reps["rep"]).select(
         "rep", "w", "len", "p", "tid", "words", F.when(F.col("p") == F.col("len"), F.col("ends")).alias("ends")), "rep-turns")
-    root = reps.agg(F.min("rep")).first()[0]
+    root, m, held = reps.agg(F.min("rep"), F.count("*"), F.sum(F.col("len") + 1)).first()
     if root is None:
         return rows.sparkSession.createDataFrame([], NODE)
 
-    # members of live heads: rep, len, head, depth, parent
-    live = reps.select("rep", "w", "len", F.lit(root).cast("long").alias("head"), F.lit(0).cast("long").alias("depth"),
-                       F.lit(None).cast("long").alias("parent"))
+    # members of live heads: rep, w, len, head, depth, parent, and their head's members and turns
+    sized = reps.select("rep", "w", "len", F.lit(root).cast("long").alias("head"), F.lit(0).cast("long").alias("depth"),
+                        F.lit(None).cast("long").alias("parent"), F.lit(m).alias("m"), F.lit(held).alias("turns"))
     swept, chains, burst, depth = [], [], [], 0
     while True:
-        sizes = live.groupBy("head").agg(F.count("*").alias("m"), F.sum(F.col("len") - F.col("depth") + 1).alias("turns"))
-        sized = cut(live.join(sizes, "head"), "members")
+        sized = cut(sized, "members")
         big = (F.col("m") > 1) & (F.col("turns") > container)
         chains.append(sized.where("m = 1").drop("m", "turns"))
         swept.append(sized.where((F.col("m") > 1) & ~big).drop("m", "turns"))
@@ -221,15 +220,16 @@ def build(rows: DataFrame, container: int = CONTAINER) -> DataFrame:
         below = members.where(F.col("len") > F.col("depth")).join(
             turns.where(F.col("p") == depth + 1).select("rep", F.col("tid").alias("next")), "rep")
         below = cut(below.select("rep", "w", "len", "head", "next"), "burst")
-        groups = below.groupBy("head", "next").agg(F.min("rep").alias("new"))
+        groups = cut(below.groupBy("head", "next").agg(F.min("rep").alias("new"), F.count("*").alias("m"),
+                                                       F.sum(F.col("len") - depth).alias("turns")), "burst-groups")
         own = turns.where(F.col("p") == depth).select("rep", F.col("words").alias("own"), "ends")
         burst.append(cut(members.join(own, "rep").groupBy("head", "parent").agg(
             F.sum("w").alias("n_convs"), F.max("own").alias("own"), F.max("ends").alias("ends")).join(
             groups.groupBy("head").agg(F.count("*").alias("n_children")), "head", "left"), "burst-heads"))
-        live = cut(below.join(groups, ["head", "next"]).select(
-            "rep", "w", "len", F.col("new").alias("head"), F.lit(depth + 1).cast("long").alias("depth"),
-            F.col("head").alias("parent")), "members")
         depth += 1
+        sized = below.join(groups, ["head", "next"]).select(
+            "rep", "w", "len", F.col("new").alias("head"), F.lit(depth).cast("long").alias("depth"),
+            F.col("head").alias("parent"), "m", "turns")
 
     nodes = cut(_swept(swept, turns).union(_chained(chains, turns)), "trie-nodes")
     out = [nodes]
