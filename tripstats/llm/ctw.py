@@ -105,7 +105,9 @@ def distinct(parts: Iterator[np.ndarray], step: int = 1 << 24) -> tuple[np.ndarr
     keys, counts, held, n = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
     def merge():
-        x = np.sort(np.concatenate(held))
+        x = np.concatenate(held)
+        held.clear()
+        x.sort()
         at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
         u, c = x[at], np.diff(at, append=len(x))
         return summed(np.concatenate([keys, u]), np.concatenate([counts, c])) if len(keys) else (u, c)
