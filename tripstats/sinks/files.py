@@ -25,6 +25,19 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def statuses(spark: SparkSession, paths: list[str], most: int) -> list[tuple[str, int, int]] | None:
+    """Path, length and time of change of the files that ``paths`` are or hold; None if they are more
+    than ``most`` or lie in folders of folders."""
+    found = []
+    for path in paths:
+        fs, p = _at(spark, path)
+        listed = fs.listStatus(p)
+        if len(found) + len(listed) > most or any(s.isDirectory() for s in listed):
+            return None
+        found += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in listed]
+    return sorted(found)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _at(spark, path)
     fs.delete(p, True)
