@@ -3,10 +3,14 @@ import io
 from contextlib import redirect_stdout
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 import __spark_entry__ as E
+from tripstats import config as C
 from tripstats.operators.joins import has_at_most, join_dimension
+from tripstats.plans import catalog as Q
+from tripstats.sources.tables import trips_from_tables
 
 
 def plan(df):
@@ -129,3 +133,27 @@ def test_hot_key_in_shuffle_join_is_split_by_aqe(spark):
     final = buf.getvalue()
     assert "BroadcastHashJoin" not in final
     assert "isFinalPlan=true" in final and "skew=true" in final
+
+
+def test_tasks_of_the_enriched_build_do_not_grow_with_the_source(spark, tmp_path, monkeypatch):
+    """Rows that one task joins, sorts and writes are bounded by bytes, not by a fixed number of partitions."""
+    monkeypatch.setattr(C, "BUILD_TASK_BYTES", 1 << 20, raising=False)
+    n = 300_000
+    key = F.col("id")
+    spark.range(n).select(key.alias("l_orderkey"), (key % 97).alias("l_partkey"), (key % 5).alias("l_suppkey"),
+                          F.lit(1).alias("l_linenumber"), F.lit(2.0).alias("l_quantity"),
+                          F.rand(7).alias("l_extendedprice"), F.lit("N").alias("l_returnflag")).write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    spark.range(n).select(key.alias("o_orderkey"), (key % 9).alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(9).select(key.alias("c_custkey"), key.cast("int").alias("c_nationkey")).write.parquet(
+        f"{tmp_path}/customer.parquet")
+    spark.range(5).select(key.alias("s_suppkey"), key.cast("int").alias("s_nationkey")).write.parquet(
+        f"{tmp_path}/supplier.parquet")
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    trips = Q.enriched(spark, str(tmp_path))
+    task = F.regexp_extract(F.input_file_name(), r"part-(\d+)-", 1)
+    per_task = [r["count"] for r in trips.select(task.alias("task")).groupBy("task").count().collect()]
+    kept = trips_from_tables(spark, str(tmp_path)).where("store_and_fwd_flag is not null and total_amount >= 0").count()
+    assert sum(per_task) == kept                                    # the whole job
+    assert max(per_task) < n / 6, sorted(per_task)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before
