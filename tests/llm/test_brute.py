@@ -272,3 +272,25 @@ def test_without_labels_every_score_is_a_half(spark, labelled):
     df = spark.createDataFrame(labelled[0][:5], "doc_id long, text string")
     model = quality.fit(df, spark.createDataFrame([], "doc_id long, quality int"))
     assert [r.score for r in quality.score_documents(df, model).collect()] == [0.5] * 5
+
+
+def test_ctw_block_counts_in_one_sort(monkeypatch):
+    """A block's training and held-out byte strings are sorted together, and counted as plain counters do."""
+    rows = [("a", False, b"one two two"), ("b", True, b"two three"), ("c", False, b""), ("d", False, b"one two two"),
+            ("e", True, b"zz zz")]
+    sorts, distinct = [], ctw.distinct
+    monkeypatch.setattr(ctw, "distinct", lambda *a, **k: (sorts.append(1), distinct(*a, **k))[1])
+    (words, n), (codes, counts) = ctw.asked(rows)
+    assert len(sorts) == 1
+    strings, every = Counter(), set()
+    named, known = Counter(), {b""}
+    for _, held, b in rows:
+        g, w = ctw.grams(b).tolist(), b.split()
+        every.update(g)
+        known.update(w)
+        if not held:
+            strings.update(g)
+            named.update([*w, b""])
+    assert codes.tolist() == sorted(every) and counts.tolist() == [strings[c] for c in sorted(every)]
+    at = dict(zip(words.tolist(), n.tolist()))
+    assert at == {int(ctw.hashed([w])[0]): named[w] for w in known}

@@ -129,27 +129,36 @@ def summed(keys: np.ndarray, *values: np.ndarray):
     return (keys[at], *(np.add.reduceat(v[order], at) for v in values))
 
 
-def asked(rows: list[tuple], count: bool = True):
-    """What a block asks for: per kind the sorted distinct keys and their training counts (0 unless ``count``)."""
-    train, every = Counter(), set()
+def vocabulary(rows: list[tuple]) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of a block and the end, with their hashes."""
+    every = {b""}
+    for _, _, b in rows:
+        every.update(b.split())
+    names = list(every)
+    return names, hashed(names)
+
+
+def hashed(names: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64).view(np.int64)
+
+
+def asked(rows: list[tuple]):
+    """What a block asks for: per kind the sorted distinct keys and their training counts."""
+    train, other = Counter(), {b""}
     for _, held, b in rows:
-        w = b.split()
-        every.update(w)
-        if count and not held:
-            train.update(w)
+        if held:
+            other.update(b.split())
+        else:
+            train.update(b.split())
             train[b""] += 1
-    every.add(b"")
-    names = list(every)
-    keys = np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64).view(np.int64)
-    words = summed(keys, np.array([train[w] for w in names], np.int64))
-    if not count:
-        every_gram, _ = distinct(grams(b) for _, _, b in rows)
-        return words, (every_gram, np.zeros(len(every_gram), np.int64))
-    some, n = distinct(grams(b) for _, held, b in rows if not held)
-    every_gram = np.union1d(some, distinct(grams(b) for _, held, b in rows if held)[0])
-    counts = np.zeros(len(every_gram), np.int64)
-    counts[np.searchsorted(every_gram, some)] = n
-    return words, (every_gram, counts)
+    names = list(other.union(train))
+    words = summed(hashed(names), np.array([train[w] for w in names], np.int64))
+    # a bit beside each string tells whether its text is held out, so that one sort counts both
+    marked, n = distinct(grams(b) << 1 | bool(held) for _, held, b in rows)
+    if not len(marked):
+        return words, (marked, n)
+    at = np.flatnonzero(np.concatenate([[True], marked[1:] >> 1 != marked[:-1] >> 1]))
+    return words, (marked[at] >> 1, np.where(marked[at] & 1, 0, n[at]))
 
 
 #: Byte strings added up at once; their places take the bits that a string's number leaves free.
@@ -337,17 +346,16 @@ def _score_task(buckets: int):
         for blob in left.column("blob").to_pylist():
             rows = unpack(blob)
             answers = {(k, b): a for k, b, a in zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "answer")))}
+            names, hashes = vocabulary(rows)
             value = []
-            for kind, (keys, _) in enumerate(asked(rows, count=False)):
+            for kind, keys in enumerate((np.unique(hashes), distinct(grams(b) for _, _, b in rows)[0])):
                 v = np.zeros(len(keys))
                 for i, m in by_bucket(kind, keys, buckets):
                     v[m] = expand(answers[kind, i], np.int64 if kind == WORDS else np.float32)
                 value.append((keys, v))
             (words, count), (codes, p) = value
             logs = np.log10(count + 0.1)
-            names = list({w for _, _, b in rows for w in b.split()} | {b""})
-            at = np.searchsorted(words, np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64).view(np.int64))
-            index = dict(zip(names, at.tolist()))
+            index = dict(zip(names, np.searchsorted(words, hashes).tolist()))
             for (doc, held, b), coded in zip(rows, totals([b for _, _, b in rows], codes, p).tolist()):
                 w = b.split()
                 i = np.fromiter(map(index.__getitem__, [*w, b""]), np.int64, len(w) + 1)
